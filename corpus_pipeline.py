@@ -6,19 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import packing
+from voxloom.llm import mixing, packing, quality, simhash, toxicity
 from voxloom.llm.common import materialize
 
 
+def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine calls toxic go."""
+    return toxicity.filter_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the policy rejects go."""
+    return quality.filter_documents(docs)
+
+
+def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.deduplicate(docs)
+
+
+def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated, cut or left out so that sources meet their target weights."""
+    return mixing.mixed_documents(docs)
+
+
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 ids."""
     return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", stage_toxicity),
+    ("quality", stage_quality),
+    ("near_dedup", stage_near_dedup),
+    ("mixing", stage_mixing),
     ("packing", stage_packing),
 ]
 
+#: Model scores, tokenizers and fingerprints are not SQL; tests hold the stages against plain versions.
 ORACLE_SQL: str | None = None
 
 
