@@ -13,7 +13,10 @@ the patterns, both bounded by the number of classes, ever reach the driver.
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +30,7 @@ from voxloom.llm.common import arrow_rows, as_bytes, materialize, slices
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-CACHE = 400_000
+CACHE = 500_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -36,8 +39,17 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: ASCII punctuation; after an ASCII letter, what of it ends a word is a token run of its own.
+PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+#: The alphabet of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on.
+PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+
+
 class WordIds:
-    """Ids of whole texts by a tokenizer that never joins text across ASCII white space.
+    """Ids of whole texts by a tokenizer that lower-cases and never joins text across ASCII white space.
 
     Such a tokenizer's ids are the concatenation of its ids word by word, so words are encoded once
     and kept, as little-endian 32-bit bytes, in a cache that is emptied when full. Strings of
@@ -45,27 +57,48 @@ class WordIds:
     """
 
     def __init__(self, path: str, cache: int = CACHE):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache, self.most = {}, cache
 
-    def __call__(self, text: bytes) -> bytes:
-        words, cache = text.split(), self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(words) if w not in cache]
+    def words(self, new: list[bytes]) -> list[bytes]:
+        """Ids of single words. A run of lower-case letters needs the model alone, on the byte alphabet."""
+        tokenize, out, odd = self.tokenizer.model.tokenize, [], []
+        for w in new:
+            if w.isalpha():
+                said = tokenize(w.decode())
+            else:
+                text = w.decode("utf-8", "replace")
+                if not (text.isalpha() and max(text) < "\u0250" and text == unicodedata.normalize("NFC", text.lower())):
+                    odd.append(len(out))
+                    out.append(b"")
+                    continue
+                said = tokenize(w.decode("latin-1").translate(BYTES))
+            out.append(array("I", [t.id for t in said]).tobytes())
+        for at in range(0, len(odd), 2048):
+            part = odd[at : at + 2048]
+            for k, e in zip(part, self.tokenizer.encode_batch_fast([new[k].decode("utf-8", "replace") for k in part], add_special_tokens=False), strict=True):
+                out[k] = array("I", e.ids).tobytes()
+        return out
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.lower().split() for t in texts]
+        all_words, cache = set().union(*split), self.cache
+        new = [w for w in all_words if w not in cache]
         if len(cache) + len(new) > self.most:
             cache.clear()
-            new = list(dict.fromkeys(words))
-        for at in range(0, len(new), 1024):
-            part = new[at : at + 1024]
-            said = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            cache.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(part, said, strict=True))
-        return b"".join([cache[w] for w in words])
+            new = list(all_words)
+        # a word and the punctuation at its end, where they part after an ASCII letter
+        cores = [c if len(c) < len(w) and c[-1:].isalpha() else w for w, c in zip(new, (w.rstrip(PUNCTUATION) for w in new), strict=True)]
+        parts = [x for x in dict.fromkeys([*cores, *(w[len(c) :] for w, c in zip(new, cores, strict=True))]) if x and x not in cache]
+        cache.update(zip(parts, self.words(parts), strict=True))
+        for w, c in zip(new, cores, strict=True):
+            if len(c) < len(w):
+                cache[w] = cache[c] + cache[w[len(c) :]]
+        return [b"".join([cache[w] for w in words]) for words in split]
 
 
 def cut(length: int, capacity: int, grid: int) -> list[int]:
@@ -272,10 +305,10 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, *, capacity: int, grid:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = WordIds(path), np.array([END_ID], "<u4").tobytes()
         for batch in slices(batches):
-            texts = as_bytes(batch.column(1))
+            texts = encode(as_bytes(batch.column(1)))
             doc, cols, kept = [], [[] for _ in range(5)], []
             for i, text in enumerate(texts):
-                ids, at = encode(text) + end, 0
+                ids, at = text + end, 0
                 whole = zlib.crc32(ids)
                 for size in cut(len(ids) // 4, capacity, grid):
                     part = ids[4 * at : 4 * (at + size)]
