@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxloom.llm import hmm, mixing, neighbours, packing, quality, sharding, simhash, toxicity
+from voxloom.llm import hmm, mixing, neighbours, packing, quality, rollup, sharding, simhash, toxicity, warc
+from voxloom.llm.common import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +27,23 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the pages have no time of capture: a second for each id
+    pages = table(spark, sf_dir, "pages")
+    index = warc.archive_pages(pages, time=F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
     base = (~quality.passes("base-1")).alias("base_failed")
     return rows.select("doc_id", *quality.MEASURES[:5], base, "kept", "fail_bits")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.rollup_by_batches(table(spark, sf_dir, "documents"), shared_path(spark, "rollup")).totals()
+
+
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
 
@@ -51,7 +64,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op3_sharding": op3_sharding,
+    "op4_warc": op4_warc,
     "op5_quality": op5_quality,
+    "op6_token_counts": op6_token_counts,
     "op7_language_model": op7_language_model,
     "op8_neighbours": op8_neighbours,
     "op9_simhash": op9_simhash,
@@ -61,6 +76,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLE: dict[str, str] = {
+    "op4_warc": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM p LEFT JOIN f ON f.payload_digest = p.payload_digest""",
     "op5_quality": rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
