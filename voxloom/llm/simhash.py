@@ -25,7 +25,7 @@ from voxloom.llm.graph import components
 
 BITS, SEED = 64, 42
 #: A group of g fingerprints is compared in blocks of BLOCK times the root of g.
-BLOCK = 16
+BLOCK = 6
 #: Costs of a probe and of a comparison, relative to each other.
 PROBE_COST, PAIR_COST = 20.0, 1.0
 
