@@ -1,0 +1,211 @@
+"""Relational operators on small literal tables with known results."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from voxloom import presets
+from voxloom.operators import clusterquality, contingency, discovery, evaluation, frames, intervals, labels, manifests, pairing, pooling, segmentation
+
+
+def rows(df, *order):
+    return [tuple(r) for r in df.orderBy(*order).collect()]
+
+
+def test_pairing_takes_the_last_path_of_a_stem(spark):
+    a = spark.createDataFrame([("x/a-1.wav",), ("y/A_1.wav",), ("x/b.wav",)], "path string")
+    b = spark.createDataFrame([("t/a1_aligned.TextGrid",), ("t/c.TextGrid",)], "path string")
+    assert rows(pairing.pair_by_stem(a, b, strip="_aligned"), "key") == [("a1", "y/A_1.wav", "t/a1_aligned.TextGrid")]
+
+
+def test_segment_manifest(spark):
+    files = spark.createDataFrame([(0, [(0.0, 0.1, 0.2), (0.2, 0.3, 0.4)]), (1, [(0.5, 0.6, 0.7)]), (2, None)], "file_id long, segments array<struct<start:double,peak:double,end:double>>")
+    out = manifests.segment_manifest(files)
+    assert out.columns[:5] == ["file_id", "segment_id", "start", "peak", "end"]
+    assert rows(out.select("file_id", "segment_id", "start", "num_segments"), "file_id", "segment_id") == [(0, 0, 0.0, 2), (0, 1, 0.2, 2), (1, 0, 0.5, 1)]
+    bad = spark.createDataFrame([(0, [(0.0, None, 0.2)])], files.schema)
+    with pytest.raises(Exception, match="start, peak and end"):
+        manifests.segment_manifest(bad).collect()
+
+
+def test_file_manifest_numbers_rows(spark):
+    got = manifests.file_manifest(spark.createDataFrame([("b.wav", 7), ("a.wav", 9)], "audio_path string, extra int"))
+    assert rows(got, "file_id") == [(0, "a.wav", 9), (1, "b.wav", 7)]
+    with pytest.raises(ValueError):
+        manifests.file_manifest(spark.createDataFrame([(1,)], "x int"))
+
+
+def test_corpus_join_matches_null_keys_and_renames_clashes(spark):
+    seg = spark.createDataFrame([(0, 0, 0.0, 1.0), (None, 1, 1.0, 2.0)], "file_id long, segment_id long, start double, end double")
+    files = spark.createDataFrame([(0, "a.wav"), (None, "none.wav")], "file_id long, audio_path string")
+    disc = spark.createDataFrame([(0, 0, 5, 0.5), (None, 1, 6, 0.7)], "file_id long, segment_id long, cluster_label int, start double")
+    out = manifests.join_corpus(seg, files, discovery=disc)
+    assert rows(out.select("segment_id", "audio_path", "cluster_label", "start", "start_discovery"), "segment_id") == [(0, "a.wav", 5, 0.0, 0.5), (1, "none.wav", 6, 1.0, 0.7)]
+
+
+def test_lookup_keeps_order_and_raises_on_a_missing_row(spark):
+    e = spark.createDataFrame([(0, 2, [3.0]), (1, 1, [20.0])], "file_id long, segment_id long, embedding array<double>")
+    assert [r["embedding"] for r in manifests.lookup(e, [(1, 1), (0, 2)]).collect()] == [[20.0], [3.0]]
+    with pytest.raises(Exception, match="no row for file 0, segment 99"):
+        manifests.lookup(e, [(0, 99)]).collect()
+    assert manifests.lookup(e, []).count() == 0
+
+
+def test_labels_of_two_segments(spark):
+    seg = spark.createDataFrame([(0, 0, 0.05, 0.15, 0.25), (0, 1, 0.55, 0.65, 0.85), (1, 0, 0.0, 0.1, 0.2)], "file_id long, segment_id long, start double, peak double, end double")
+    tier = spark.createDataFrame([(0, 0, 0.0, 0.45, "alpha"), (0, 1, 0.45, 1.0, "beta"), (0, 2, 1.0, 2.0, " ")], "file_id long, interval_idx int, xmin double, xmax double, text string")
+    out = labels.attach_labels(seg, tier)
+    got = rows(out.select("file_id", "segment_id", "tg_labels", "primary_label", "label_source"), "file_id", "segment_id")
+    assert got == [(0, 0, ["alpha"], "alpha", "textgrid"), (0, 1, ["beta"], "beta", "textgrid"), (1, 0, [], "", "none")]
+    with pytest.raises(ValueError):
+        labels.attach_labels(seg, tier, mode="last")
+
+
+def test_bucketed_joins_find_the_same_pairs(spark):
+    rng = np.random.default_rng(1)
+    a = spark.createDataFrame([(int(f), float(s), float(s + d)) for f, s, d in zip(rng.integers(0, 3, 80), rng.uniform(0, 50, 80), rng.uniform(0, 9, 80), strict=True)], "file_id long, a0 double, a1 double")
+    b = a.selectExpr("file_id", "a0 + 1.5 AS b0", "a1 + 2 AS b1")
+    plain = intervals.overlap_join(a, b, ("a0", "a1"), ("b0", "b1"))
+    assert rows(plain, *plain.columns) == rows(intervals.overlap_join(a, b, ("a0", "a1"), ("b0", "b1"), width=4.0), *plain.columns)
+    p = a.selectExpr("file_id", "a0 AS p")
+    near = intervals.point_join(p, b, "p", ("b0", "b1"), slack=0.5)
+    assert rows(near, *near.columns) == rows(intervals.point_join(p, b, "p", ("b0", "b1"), slack=0.5, width=3.0), *near.columns)
+
+
+def test_contingency_scores(spark):
+    pairs = spark.createDataFrame([(0, "a"), (0, "a"), (1, "b"), (1, "c"), (None, "a"), (1, "")], "cluster_label int, primary_label string")
+    one = contingency.score(pairs).overall.first()
+    assert one["cluster_purity"] == 0.75 and one["label_purity"] == 1.0
+    assert one["macro_f1"] == pytest.approx(5 / 6) and one["weighted_f1"] == pytest.approx(5 / 6)
+    assert (one["n_clusters"], one["n_labels"]) == (2, 3) and one["nmi"] > 0
+    empty = contingency.score(pairs.limit(0)).overall.first()
+    assert empty["n"] == 0 and empty["cluster_purity"] == 0 and empty["nmi"] == 0
+
+
+def test_boundaries_are_mutual_nearest(spark):
+    pred = spark.createDataFrame([(0, 1.0), (0, 1.04), (0, 5.0), (0, 9.0)], "file_id long, t double")
+    ref = spark.createDataFrame([(0, 1.02, True), (0, 5.01, False), (0, 7.0, True)], "file_id long, t double, active boolean")
+    got = evaluation.evaluate_boundaries(pred, ref).first()
+    assert (got["TP"], got["Ins"], got["Del"]) == (1, 2, 1) and got["TER"] == 1.5
+    assert got["matches"] == [1.0] or got["matches"] == [1.04]
+
+
+def test_nuclei_count_extras(spark):
+    peaks = spark.createDataFrame([(0, 0, 1.0), (0, 1, 1.1), (0, 2, 8.0), (1, 0, 3.0)], "file_id long, ord long, t double")
+    spans = spark.createDataFrame([(0, 0.9, 1.2), (0, 4.0, 5.0)], "file_id long, xmin double, xmax double")
+    got = {r["file_id"]: (r["TP"], r["Ins"], r["Del"], r["TER"]) for r in evaluation.evaluate_nuclei(peaks, spans).collect()}
+    assert got == {0: (1, 2, 1, 1.5), 1: (0, 1, 0, 0.0)}
+
+
+def test_span_assignment(spark):
+    pred = spark.createDataFrame([(0, 0.0, 1.0), (0, 1.0, 2.0), (0, 5.0, 6.0)], "file_id long, start double, end double")
+    ref = spark.createDataFrame([(0, 0.01, 1.02, True), (0, 1.2, 2.4, True)], "file_id long, start double, end double, active boolean")
+    got = segmentation.evaluate_spans(pred, ref).first()
+    assert (got["TP"], got["Sub"], got["Ins"], got["Del"]) == (1, 1, 1, 0) and got["TER"] == 1.0
+
+
+def test_vowels_and_markers(spark):
+    t = spark.createDataFrame([("ih",), ("AE1",), ("b",), ("",), ("space",), ("{SIL}",), ("h#",)], "text string")
+    assert [r[0] for r in t.filter(evaluation.is_vowel(F.col("text"))).collect()] == ["ih", "AE1"]
+    assert [r[0] for r in t.filter(~evaluation.is_deleted(F.col("text"))).collect()] == ["ih", "AE1", "b", "{SIL}"]
+
+
+def test_aggregate_of_nothing_counted(spark):
+    r = spark.createDataFrame([("a", "nuclei", 0, 0, 0, None, 0.0)], "file_id string, eval_method string, TP long, Ins long, Del long, Sub long, TER double")
+    got = evaluation.aggregate(r, "d").first()
+    assert got["Total"] == 0 and got["F1"] is None and got["Precision"] is None
+
+
+def test_pooling_shapes_and_values(spark):
+    x = np.random.default_rng(0).normal(size=(100, 8))
+    f = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "file_id long, frame long, vec array<double>")
+    s = spark.createDataFrame([(0, 0, 0.0, 0.05, 0.1), (0, 1, 0.15, 0.2, 0.3), (0, 2, 0.35, 0.4, 0.5), (0, 3, 2.0, 2.0, 2.0)], "file_id long, segment_id long, start double, peak double, end double")
+    mean = {r["segment_id"]: r["embedding"] for r in pooling.pool_segments(f, s, "mean", fps=100).collect()}
+    assert np.allclose(mean[1], x[15:30].mean(axis=0)) and np.allclose(mean[3], x[99])
+    onc = {r["segment_id"]: r["embedding"] for r in pooling.get_pooler("onc")(f, s, 100.0).collect()}
+    assert len(onc[0]) == 24 and np.allclose(onc[0][8:16], x[5])
+    assert pooling.pool_segments(f, s.limit(0), "median", fps=100).count() == 0
+    with pytest.raises(ValueError):
+        pooling.get_pooler("sum")
+    with pytest.raises(Exception, match="in order"):
+        pooling.valid_segments(s.withColumn("peak", F.lit(9.0))).collect()
+
+
+def test_valleys(spark):
+    va = spark.createDataFrame([(0, 1.0, 0.2), (0, 1.02, 0.1), (0, 3.0, 0.4), (0, 5.0, 0.9)], "file_id long, t double, v double")
+    pe = spark.createDataFrame([(0, 2.0, 1.0), (0, 4.0, 0.8)], "file_id long, t double, v double")
+    assert rows(frames.merge_valleys(va, 0.05), "t") == [(0, 1.02, 0.1), (0, 3.0, 0.4), (0, 5.0, 0.9)]
+    assert rows(frames.drop_shallow_valleys(va, pe, 0.5), "t") == [(0, 1.0, 0.2), (0, 1.02, 0.1), (0, 3.0, 0.4)]
+    assert [r[1] for r in rows(frames.edge_valleys(va, spark.createDataFrame([(0, 6.0)], "file_id long, t double"), 0.5), "t")] == [0.0, 1.0, 1.02, 3.0, 5.0, 6.0]
+    assert rows(frames.peaks_between_valleys(va.select("file_id", "t"), pe), "start") == [(0, 1.02, 2.0, 3.0, 1.0), (0, 3.0, 4.0, 5.0, 0.8)]
+
+
+def test_intrinsic_metrics(spark):
+    x = np.array([[0.0, 0], [0, 1], [10, 10], [10, 11]])
+    df = spark.createDataFrame([(i, v.tolist(), int(i > 1)) for i, v in enumerate(x)], "id long, vec array<double>, label int")
+    got = clusterquality.intrinsic_metrics(df).first()
+    d = [math.dist(x[0], x[2]), math.dist(x[0], x[3]), math.dist(x[1], x[2]), math.dist(x[1], x[3])]
+    s = np.mean([1 - 1 / np.mean(p) for p in ((d[0], d[1]), (d[2], d[3]), (d[0], d[2]), (d[1], d[3]))])
+    assert got["status"] == "ok" and got["silhouette"] == pytest.approx(s)
+    assert clusterquality.intrinsic_metrics(df.withColumn("label", F.lit(0))).first()["status"] == "insufficient_cluster_structure"
+    assert clusterquality.intrinsic_metrics(df.limit(0)).first()["status"] == "empty_input"
+
+
+@pytest.mark.parametrize(("name", "k"), [("kmeans", 3), ("minibatch_kmeans", 4), ("agglomerative", 3)])
+def test_discovery_round_trip(spark, tmp_path, name, k):
+    x = np.random.default_rng(2).normal(size=(32, 4)) + 20 * (np.arange(32)[:, None] % k == np.arange(4)[None])
+    df = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "file_id long, segment_id long, embedding array<double>").cache()
+    p = discovery.DiscoveryPipeline(name, n_clusters=k)
+    result = p.discover(df)
+    got = {r["segment_id"]: r["cluster_label"] for r in result.labels.collect()}
+    assert len(got) == 32 and result.num_clusters <= k and result.metrics.first()["status"] == "ok"
+    p.save(str(tmp_path / "m"))
+    again = {r["segment_id"]: r["cluster_label"] for r in discovery.DiscoveryPipeline.load(str(tmp_path / "m")).predict(df).collect()}
+    assert again == got
+    with pytest.raises(FileExistsError):
+        p.save(str(tmp_path / "m"))
+    with pytest.raises(FileNotFoundError):
+        discovery.DiscoveryPipeline.load(str(tmp_path / "none"))
+
+
+def test_learning_in_steps(spark):
+    df = spark.createDataFrame([(0, i, [float(i % 2 * 10), float(i)]) for i in range(40)], "file_id long, segment_id long, embedding array<double>")
+    p = discovery.DiscoveryPipeline("minibatch_kmeans", n_clusters=2).fit_batches([df.filter("segment_id < 20"), df.filter("segment_id >= 20")])
+    assert p.predict(df).count() == 40
+    with pytest.raises(ValueError):
+        discovery.DiscoveryPipeline("kmeans").fit_batches([df])
+    with pytest.raises(ValueError):
+        discovery.DiscoveryPipeline("minibatch_kmeans").fit_batches([])
+
+
+def test_ward_joins_nearest_first():
+    x = np.array([[0.0], [0.1], [5.0], [5.2], [20.0]])
+    assert discovery.ward_labels(x, 3).tolist() == [0, 0, 1, 1, 2]
+
+
+def test_kernels_turn_errors_into_rows(spark):
+    waves = spark.createDataFrame([(0, 16, [0.0] * 64), (1, 16, None)], "file_id long, sr int, samples array<double>")
+    got = segmentation.apply_kernel(waves, lambda r: [float(np.asarray(r["samples"], float).sum())] if r["samples"] is not None else 1 / 0, "array<double>", fail=False)
+    assert [(r["file_id"], r["success"]) for r in got.orderBy("file_id").collect()] == [(0, True), (1, False)]
+
+
+def test_registries():
+    assert segmentation.segmenter_name("Greedy-Cosine") == "greedy_cosine"
+    with pytest.raises(ValueError):
+        segmentation.get_segmenter("nothing")
+    with pytest.raises(RuntimeError, match="needs a model"):
+        segmentation.get_features("HuBERT")
+    assert {"mfcc", "melspectrogram", "hubert"} <= set(segmentation.list_features())
+
+
+def test_presets():
+    assert presets.list_presets() == ["sylber", "vg_hubert_cls", "vg_hubert_mincut"]
+    assert presets.resolve_preset("sylber")["segmentation_kwargs"]["norm_threshold"] == 2.6
+    with pytest.raises(ValueError):
+        presets.resolve_preset("sylber", pooling="onc")
+    with pytest.raises(ValueError):
+        presets.resolve_preset(None, segmentation="peakdetect")
+    with pytest.raises(ValueError):
+        presets.get_preset("none")

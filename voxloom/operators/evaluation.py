@@ -15,10 +15,23 @@ from pyspark.sql import functions as F
 
 from voxloom.functions.expressions import iou, stem
 
-#: Vowels, by ARPAbet name, and syllabic consonants.
+#: Vowels by ARPAbet name, plain vowels, and syllabic consonants.
 VOWELS = (
-    "AA", "AE", "AH", "AO", "AW", "AX", "AXR", "AY", "EH", "ER", "EY", "IH", "IX", "IY", "OW", "OY", "UH", "UW", "UX",
-    "AX-H", "ENG", "EL", "EM", "EN",
+    "AA", "AE", "AH", "AO", "AW", "AX", "AY", "EH", "ER", "EY", "IH", "IX", "IY", "OW", "OY", "UH", "UW",
+    "A", "E", "I", "O", "U",
+    "EL", "EM", "EN", "ENG",
+)
+#: Vowels of Kono, in several Unicode forms of one letter.
+KONO_VOWELS = (
+    "a","aa","à","àà","àá","á","áà","áá","ã","ã́",
+    "à","àà","àá","á","áá","ã","ɑ̀",
+    "e","è","é","éè","è","èè","é",
+    "i","ì","ìì","ìí","í","ì","ìí","í","íí","ɪ́",
+    "ḿ","ń","ɱ́",
+    "o","ò","ò̃","ó","õ","õ̀","ṍ","ò","ó","õ","õ̀",
+    "u","ù","ú","u̟","ù","ùù","ú","ʉ́","ʌ́",
+    "ɔ","ɔɔ","ɔ̀","ɔ́","ɔ́ɔ̀","ɔ́ɔ́","ɔ̟́",
+    "ɛ","ɛ̀","ɛ̝̀","ɛ́","ɛ́ɛ́","ɛ̝́ɛ̝́","ɛ̝","ɛ̝̀",
 )
 #: A label that holds one of these is not speech. The last but one keeps its backslashes.
 MARKERS = ("h#", "sil", "sp", "\\{SIL\\}", "_unknown")
