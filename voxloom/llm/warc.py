@@ -79,11 +79,10 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     and blanks in a url become underscores. Of rows that repeat with one id, all are the response;
     rows without an id never are one that others refer to. An empty table writes no record.
     """
-    total = pages.select(F.sum(F.octet_length(F.col(f"`{html_col}`")) + 500)).first()[0] or 0
+    size = pages.select(F.avg(F.octet_length(F.col(f"`{html_col}`")) + 600)).first()[0] or 1
     rows = plan_records(pages, id_col, url_col, html_col, time, least)
-    files = int(total // file_bytes) + 1
-    out = records(rows.repartition(files, F.xxhash64("page_id", "payload_digest", "url")))
-    out.write.option("lineSep", END).text(path)
+    # records leave the tasks that read or joined their pages; only a file's number of records is bounded
+    records(rows).write.option("lineSep", END).option("maxRecordsPerFile", max(1, int(file_bytes // size))).text(path)
 
 
 # ---- reading -------------------------------------------------------------------------------------
