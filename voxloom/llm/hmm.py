@@ -29,7 +29,7 @@ from voxloom.llm.common import arrow_rows, as_bytes, crc_mod, materialize, slice
 
 STATES, OWN, SHARED, KNOWN = 8, 1 << 15, 1 << 11, 1 << 18
 ROUNDS, WARM_ROUNDS, WARM_DOCS = 2, 12, 1_500
-#: Pseudo-counts: of a state's emissions, by the corpus's own distribution; of each transition.
+#: Pseudo-counts: least of a state's emissions, by the corpus's own distribution; of each transition.
 EMIT, MOVE = 25.0, 0.5
 TOKENS = 300_000
 
@@ -105,7 +105,9 @@ def gather(sums: np.ndarray, symbols: np.ndarray, states: np.ndarray) -> None:
 def updated(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, share: np.ndarray) -> Model:
     start = starts + 1.0
     move = moves + MOVE + 10 * MOVE * np.eye(len(starts))
-    emit = emits + EMIT * share[:, None]
+    # a state that has shown many symbols for its size will show others: their number is the weight of the corpus's own
+    weight = EMIT + (emits > 0.5).sum(axis=0)
+    emit = emits + weight * share[:, None]
     return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
