@@ -96,6 +96,26 @@ def test_corpus_end_to_end(spark, corpus):
     assert found.filter("cluster_label IS NULL OR audio_path IS NULL").count() == 0 and found.count() > 4
 
 
+def test_corpus_to_storage(spark, corpus, tmp_path):
+    waves = audio.read_audio(spark, f"{corpus}/wav").cache()
+    found, _ = api.discover_corpus(waves.filter("success"), discovery_kwargs={"n_clusters": 2}, segmentation_method="mincut", features="mfcc", output_dir=str(tmp_path / "out"))
+    assert found.count() > 4 and found.filter("cluster_label IS NULL").count() == 0
+    manifest = stores.load_embedding_manifest(spark, str(tmp_path / "out/manifest")).collect()
+    assert len(manifest) == 2 and all(r["success"] and r["embedding_dim"] == 13 and r["num_rows"] > 0 for r in manifest)
+    got = api.embed_corpus_to_storage(waves, str(tmp_path / "all"), segmentation_method="mincut", features="mfcc").collect()
+    assert sorted(r["success"] for r in got) == [False, True, True]
+
+
+def test_public_names():
+    import voxloom
+    from voxloom import plotting
+
+    assert all(getattr(voxloom, n) is not None for n in voxloom.__all__)
+    with pytest.raises(AttributeError):
+        voxloom.nothing
+    assert plotting.parse_list("[np.float64(1.5), (2, 3)]") == [1.5, (2, 3)] and plotting.parse_list("?") == []
+
+
 def test_cli(spark, corpus, tmp_path):
     assert cli.main(["segment", f"{corpus}/wav", "--out", str(tmp_path / "seg")]) == 0
     assert spark.read.json(str(tmp_path / "seg")).count() == 2

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from voxloom.functions.expressions import pairing_key, stem
 from voxloom.operators import discovery, evaluation, pooling, segmentation
 from voxloom.operators.manifests import join_corpus
 from voxloom.presets import resolve_preset
-from voxloom.sources import annotations, audio
+from voxloom.sources import annotations, audio, stores
 
 
 def segment_audio(waves: DataFrame, method: str = "peakdetect", *, envelope: str = "sbs", features: str | None = None, rate: float = 50.0, envelope_kwargs: dict[str, Any] | None = None, feature_kwargs: dict[str, Any] | None = None, fail: bool = True, **options: Any) -> DataFrame:
@@ -25,25 +26,59 @@ def segment_audio(waves: DataFrame, method: str = "peakdetect", *, envelope: str
 
 def embed_corpus(waves: DataFrame, *, preset: str | None = None, segmentation_method: str | None = None, features: str | None = None, pooling_method: str | None = None, rate: float = 50.0, segmentation_kwargs: dict[str, Any] | None = None, feature_kwargs: dict[str, Any] | None = None, fail: bool = False) -> tuple[DataFrame, DataFrame]:
     """(segments, embeddings) of all files from one extraction of frames; files that fail have none."""
+    _, segments, pooled = _embedded(waves, preset, segmentation_method, features, pooling_method, rate, segmentation_kwargs, feature_kwargs, fail)
+    return segments, pooled
+
+
+def _embedded(waves: DataFrame, preset: str | None, segmentation_method: str | None, features: str | None, pooling_method: str | None, rate: float, segmentation_kwargs: dict[str, Any] | None, feature_kwargs: dict[str, Any] | None, fail: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     recipe = resolve_preset(preset, segmentation=segmentation_method, features=features, pooling=pooling_method, segmentation_kwargs=segmentation_kwargs, feature_kwargs=feature_kwargs)
-    frames = segmentation.features_of(waves, recipe["features"], fail=fail, **recipe["feature_kwargs"]).cache()
+    results = segmentation.extract(waves, recipe["features"], fail=fail, **recipe["feature_kwargs"]).persist(StorageLevel.MEMORY_AND_DISK)
+    frames = segmentation.frames_of(results)
     options = dict(recipe["segmentation_kwargs"])
     if recipe["segmentation"] == "peakdetect":
         segments = segment_audio(waves, envelope=options.pop("envelope"), fail=fail, **options)
     else:
         segments = segmentation.segment_frames(frames, recipe["segmentation"], rate, fail=fail, **options)
-    segments = segments.cache()
+    segments = segments.persist(StorageLevel.MEMORY_AND_DISK)
     pooled = pooling.pool_segments(frames, pooling.valid_segments(segments, recipe["pooling"]), recipe["pooling"], fps=rate)
-    return segments, pooled
+    return results.select("file_id", "success", "error"), segments, pooled
 
 
-def discover_corpus(waves: DataFrame, *, discovery_method: str = "kmeans", discovery_kwargs: dict[str, Any] | None = None, **embed: Any) -> tuple[DataFrame, discovery.DiscoveryPipeline]:
-    """Segments of all files with their cluster, and the fitted pipeline."""
-    segments, embeddings = embed_corpus(waves, **embed)
+def embed_corpus_to_storage(waves: DataFrame, path: str, *, preset: str | None = None, segmentation_method: str | None = None, features: str | None = None, pooling_method: str | None = None, rate: float = 50.0, segmentation_kwargs: dict[str, Any] | None = None, feature_kwargs: dict[str, Any] | None = None, buckets: int = 64) -> DataFrame:
+    """Segments, embeddings (partitioned by a hash of the file) and a manifest of all files below ``path``; returns the manifest."""
+    status, segments, pooled = _embedded(waves, preset, segmentation_method, features, pooling_method, rate, segmentation_kwargs, feature_kwargs, False)
+    recipe = resolve_preset(preset, segmentation=segmentation_method, features=features, pooling=pooling_method, segmentation_kwargs=segmentation_kwargs, feature_kwargs=feature_kwargs)
+    spark, at = waves.sparkSession, f"{path}/embeddings"
+    segments.write.mode("overwrite").parquet(f"{path}/segments")
+    pooled.withColumn("bucket", F.pmod(F.xxhash64("file_id"), F.lit(buckets))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(at)
+    sizes = spark.read.parquet(at).groupBy("file_id").agg(F.count("*").cast("int").alias("num_rows"), F.max(F.size("embedding")).alias("embedding_dim"))
+    told = {"segmentation": recipe["segmentation"], "features": recipe["features"], "pooling": recipe["pooling"], "preset": preset}
+    manifest = waves.select("file_id", F.col("path").alias("audio_path")).join(status, "file_id", "left").join(sizes, "file_id", "left")
+    manifest = manifest.select(
+        "file_id", "audio_path", F.lit(at).alias("embedding_path"), F.coalesce("num_rows", F.lit(0)).alias("num_rows"), F.coalesce("embedding_dim", F.lit(0)).alias("embedding_dim"),
+        F.coalesce("success", F.lit(False)).alias("success"), "error", *(F.lit(v).cast("string").alias(k) for k, v in told.items()),
+    )
+    stores.write_embedding_manifest(manifest, f"{path}/manifest", mode="overwrite")
+    return stores.load_embedding_manifest(spark, f"{path}/manifest")
+
+
+def discover_corpus(waves: DataFrame, *, discovery_method: str = "kmeans", discovery_kwargs: dict[str, Any] | None = None, output_dir: str | None = None, **embed: Any) -> tuple[DataFrame, discovery.DiscoveryPipeline]:
+    """Segments of all files with their cluster, and the fitted pipeline; both are also written below ``output_dir``."""
+    if output_dir is None:
+        segments, embeddings = embed_corpus(waves, **embed)
+    else:
+        spark = waves.sparkSession
+        embed_corpus_to_storage(waves, output_dir, **embed)
+        segments, embeddings = spark.read.parquet(f"{output_dir}/segments"), spark.read.parquet(f"{output_dir}/embeddings").drop("bucket")
     pipeline = discovery.DiscoveryPipeline(discovery_method, **(discovery_kwargs or {})).fit(embeddings)
     labels = pipeline.predict(embeddings).select("file_id", "segment_id", "cluster_label")
     files = waves.select("file_id", F.col("path").alias("audio_path"))
-    return join_corpus(segments, files, discovery=labels), pipeline
+    out = join_corpus(segments, files, discovery=labels)
+    if output_dir is not None:
+        out.write.mode("overwrite").parquet(f"{output_dir}/discovered")
+        pipeline.save(f"{output_dir}/model", overwrite=True)
+        out = waves.sparkSession.read.parquet(f"{output_dir}/discovered")
+    return out, pipeline
 
 
 def pair_waves(waves: DataFrame, tiers: DataFrame, strip: str | None = None) -> DataFrame:

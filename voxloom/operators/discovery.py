@@ -240,6 +240,10 @@ class DiscoveryPipeline:
         return out
 
 
+def save_pipeline(pipeline: DiscoveryPipeline, path: str, *, metadata: dict[str, Any] | None = None, overwrite: bool = False) -> None:
+    pipeline.save(path, metadata=metadata, overwrite=overwrite)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

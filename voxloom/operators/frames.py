@@ -26,12 +26,25 @@ def adjacent_cosine(frames: DataFrame) -> DataFrame:
     return frames.withColumn("_b", before).select("file_id", "frame", F.when(F.col("_b").isNotNull(), cosine(F.col("vec"), F.col("_b"))).alias("similarity"))
 
 
-def stable_frames(frames: DataFrame) -> DataFrame:
-    """Frames whose similarity with the one before is a local maximum of at least the file's mean."""
-    w = W.partitionBy("file_id").orderBy("frame")
-    rows = adjacent_cosine(frames).filter("similarity IS NOT NULL")
-    rows = rows.select("*", F.lag("similarity").over(w).alias("_p"), F.lead("similarity").over(w).alias("_n"), F.avg("similarity").over(W.partitionBy("file_id")).alias("_m"))
-    return rows.filter("similarity > _p AND similarity > _n AND similarity >= _m").select("file_id", "frame", "similarity")
+def stable_peaks(frames: DataFrame, segments: DataFrame, fps: float) -> DataFrame:
+    """Segments (file_id, segment_id, start, end) with ``peak``, the frame most like its neighbours inside the segment.
+
+    Bounds are rounded half to even; the first frame wins ties, and is the peak of a segment of one.
+    """
+    count = frames.groupBy(F.col("file_id").alias("_f")).agg((F.max("frame") + 1).alias("_n"))
+    at = lambda c: F.bround(F.col(c) * fps).cast("int")
+    spans = segments.join(count, F.col("file_id") == F.col("_f"))
+    first = F.least(F.greatest(at("start"), F.lit(0)), F.col("_n") - 1)
+    spans = spans.select("_f", "segment_id", "start", "end", first.alias("first"), F.greatest(F.least(at("end"), F.col("_n")), first + 1).alias("last"))
+    inside = (F.col("file_id") == F.col("_f")) & (F.col("frame") >= F.col("first")) & (F.col("frame") < F.col("last"))
+    w = W.partitionBy("file_id", "segment_id").orderBy("frame")
+    rows = frames.select("file_id", "frame", "vec").join(spans, inside).withColumn("_b", F.lag("vec").over(w))
+    size = F.sqrt(dot(F.col("vec"), F.col("vec"))) * F.sqrt(dot(F.col("_b"), F.col("_b")))
+    like = F.when(F.col("_b").isNotNull(), F.coalesce(F.try_divide(dot(F.col("vec"), F.col("_b")), size), F.lit(0.0)))
+    rows = rows.withColumn("_like", like).withColumn("_next", F.lead("_like").over(w))
+    both = F.coalesce((F.col("_like") + F.col("_next")) / 2, F.col("_like"), F.col("_next"), F.lit(0.0))
+    best = F.max(F.struct(both.alias("s"), (-F.col("frame")).alias("k")))["k"]
+    return rows.groupBy("file_id", "segment_id", "start", "end").agg((-best / fps).alias("peak"))
 
 
 def self_similarity_envelope(frames: DataFrame, normalize: bool = True) -> DataFrame:

@@ -98,6 +98,8 @@ def get_features(name: str) -> Callable[..., np.ndarray]:
     short = feature_name(name)
     if short in _FEATURES:
         return _FEATURES[short]
+    if short in envelopes.KERNELS:  # an envelope is one column
+        return lambda x, sr, **o: np.asarray(envelopes.envelope(short, x, sr, **o)[0])[:, None]
     if short in NEURAL:
         raise RuntimeError(f"{short} needs a model: register one with register_features({short!r}, kernel)")
     raise ValueError(f"unknown features: {name}")
@@ -236,12 +238,21 @@ def envelope_of_frames(frames: DataFrame, method: str, rate: float = 50.0, *, fa
     return signal_of(apply_kernel(sequences(frames, "frame", "vec"), kernel, "struct<t:array<double>,v:array<double>>", fail=fail))
 
 
-def features_of(waves: DataFrame, method: str = "mfcc", *, fail: bool = True, **options: Any) -> DataFrame:
-    """Frames (file_id, frame, vec) of waveforms by a registered extractor."""
+def extract(waves: DataFrame, method: str = "mfcc", *, fail: bool = True, **options: Any) -> DataFrame:
+    """A registered extractor on waveforms: file_id, result (frames x dimensions), success, error."""
     make = get_features(method)
     kernel = lambda r: [np.asarray(x, float).tolist() for x in make(np.asarray(r["samples"], float), int(r["sr"]), **options)]
-    rows = apply_kernel(waves.select("file_id", "sr", "samples"), kernel, "array<array<double>>", fail=fail)
-    return rows.select("file_id", F.posexplode("result").alias("frame", "vec")).withColumn("frame", F.col("frame").cast("long"))
+    return apply_kernel(waves.select("file_id", "sr", "samples"), kernel, "array<array<double>>", fail=fail)
+
+
+def frames_of(results: DataFrame) -> DataFrame:
+    rows = results.select("file_id", F.posexplode("result").alias("frame", "vec"))
+    return rows.withColumn("frame", F.col("frame").cast("long"))
+
+
+def features_of(waves: DataFrame, method: str = "mfcc", *, fail: bool = True, **options: Any) -> DataFrame:
+    """Frames (file_id, frame, vec) of waveforms by a registered extractor."""
+    return frames_of(extract(waves, method, fail=fail, **options))
 
 
 def evaluate_spans(predicted: DataFrame, reference: DataFrame, tolerance: float = 0.05) -> DataFrame:

@@ -367,12 +367,14 @@ def adjacent_cosine(v: Views) -> DataFrame:
 
 @query(
     "stable_frame",
-    ADJACENT
-    + """, n AS (SELECT *, lag(similarity) OVER w AS p, lead(similarity) OVER w AS q, avg(similarity) OVER (PARTITION BY file_id) AS m FROM si WHERE similarity IS NOT NULL WINDOW w AS (PARTITION BY file_id ORDER BY frame))
-SELECT file_id, frame, round(similarity, 6) AS similarity FROM n WHERE similarity > p AND similarity > q AND similarity >= m""",
+    SPANS.split("x AS")[0].format("round_even", "").replace("(start * 50)", "(start * 50, 0)").replace('("end" * 50)', '("end" * 50, 0)')
+    + """i AS (SELECT b.file_id, segment_id, start, "end", frame, vec, lag(vec) OVER (PARTITION BY b.file_id, segment_id ORDER BY frame) AS pv FROM b JOIN frames f ON f.file_id = b.file_id AND frame >= a AND frame < greatest(z, a + 1)),
+l AS (SELECT *, CASE WHEN pv IS NOT NULL THEN list_dot_product(vec, pv) / (sqrt(list_dot_product(vec, vec)) * sqrt(list_dot_product(pv, pv))) END AS li FROM i),
+n AS (SELECT *, lead(li) OVER (PARTITION BY file_id, segment_id ORDER BY frame) AS ne FROM l)
+SELECT file_id, segment_id, round(start, 6) AS start, round("end", 6) AS "end", round(arg_max(frame, (coalesce((li + ne) / 2, li, ne, 0), -frame)) / 50.0, 6) AS peak FROM n GROUP BY file_id, segment_id, start, "end" """,
 )
 def stable_frame(v: Views) -> DataFrame:
-    return rounded(frames.stable_frames(v.frames()), "similarity")
+    return rounded(frames.stable_peaks(v.frames(), spans(v).select("file_id", "segment_id", "start", "end"), 50.0), "start", "end", "peak")
 
 
 @query(
