@@ -209,7 +209,7 @@ def test_links_lose_nothing(spark, monkeypatch, block):
     ids = sorted(fps)
     want = dict(zip(ids, brute_components(ids, ids), strict=True))
     for parts in (simhash.plan(n, both, 2), [(g, t) for g, t in zip(simhash.group_bits(n, both, 2), (1, 0), strict=True)]):
-        got = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, parts, 2)).collect()}
+        got = {r["node"]: r["root"] for r in simhash.components(simhash.links(df.select(F.col("fp").alias("node"), "fp"), parts, 2)).collect()}
         assert {f: got.get(f, f) for f in ids} == want
 
 
@@ -223,11 +223,44 @@ def test_thresholds_sum_up():
     assert max(t for _, t in simhash.plan(10**10, both * 10**7, 2)) >= 1
 
 
-def test_deduplicate_keeps_one_of_each(spark, messy):
+def similar(a, b):
+    sets = []
+    for t in (a, b):
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return not (sets[0] | sets[1]) or len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("group", [3, 256])
+def test_deduplicate_near_copies(spark, monkeypatch, group):
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rng = np.random.default_rng(4)
+    texts, n = [], 120
+    for _ in range(8):
+        words = [f"w{i}" for i in rng.integers(0, 5000, n)]
+        for copies in range(12):
+            w = list(words)
+            for at in rng.choice(n, rng.integers(0, 3), replace=False):
+                w[at] = f"e{rng.integers(0, 999)}"
+            texts.append(" ".join(w))
+    texts += [" ".join(f"c{i}" for i in rng.integers(0, 5000, n)) for _ in range(20)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.deduplicate(df).collect()}
+    assert set(range(96, 116)) <= kept
+    for i, t in enumerate(texts):
+        if i not in kept:
+            assert any(similar(t, texts[j]) for j in kept)
+    pairs = [(i, j) for i in kept for j in kept if i < j and similar(texts[i], texts[j])]
+    assert len(pairs) <= 2
+
+
+def test_deduplicate_messy(spark, messy):
     out = simhash.deduplicate(messy)
     assert out.columns == messy.columns
-    fps = [fingerprint(r["text"]) for r in out.collect()]
-    assert len(set(fps)) == len(fps) and set(fps) == {fingerprint(r["text"]) for r in messy.collect()}
+    words = lambda rows: [" ".join((r["text"] or "").lower().split(" ")).split() for r in rows]
+    got = [tuple(w) for w in words(out.collect())]
+    assert len(set(got)) == len(got) and set(got) == {tuple(w) for w in words(messy.collect())}
+    assert simhash.deduplicate(messy.limit(0)).count() == 0
 
 
 # ---- toxicity --------------------------------------------------------------------------------------

@@ -30,23 +30,33 @@ BLOCK = 6
 PROBE_COST, PAIR_COST = 20.0, 1.0
 
 
-def fingerprint(text: bytes, width: int = 3, seed: int = SEED) -> int:
-    """64 majority bits over the hashes of all word shingles of a text; 0 where there is no word."""
+def majority(hashes: np.ndarray) -> bytes:
+    """The bits (little-endian) that are set in over half of the hashes (rows of unsigned longs)."""
+    rows = hashes.reshape(len(hashes), -1).astype("<u8").view(np.uint8)
+    ones = np.zeros(8 * rows.shape[1], np.int64)
+    for at in range(0, len(rows), 8192):
+        ones += np.unpackbits(rows[at : at + 8192], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(rows), bitorder="little").tobytes()
+
+
+def shingle_hashes(words: list[bytes], width: int, seed: int = SEED) -> np.ndarray:
+    """Hashes of the windows of ``width`` words, repeats included; of all words if there are fewer; none without words."""
     from xxhash import xxh64_intdigest
 
-    words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(words), max(len(words) - width + 1, 1)
     if n == 1:
-        return xxh64_intdigest(joined, seed)
+        return np.array([xxh64_intdigest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     first, last = [0, *(ends[: n - 1] + 1).tolist()], ends[width - 1 :].tolist()
-    hashes = np.fromiter(map(xxh64_intdigest, [joined[a:b] for a, b in zip(first, last, strict=True)], repeat(seed)), np.uint64, n)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 8192):
-        ones += np.unpackbits(hashes[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    return np.fromiter(map(xxh64_intdigest, [joined[a:b] for a, b in zip(first, last, strict=True)], repeat(seed)), np.uint64, n)
+
+
+def fingerprint(text: bytes, width: int = 3, seed: int = SEED) -> int:
+    """64 majority bits over the hashes of all word shingles of a text; 0 where there is no word."""
+    hashes = shingle_hashes(text.lower().split(), width, seed)
+    return int.from_bytes(majority(hashes), "little") if len(hashes) else 0
 
 
 def fingerprints(docs: DataFrame, text_col: str, keep: list[str], names: list[str], width: int = 3) -> DataFrame:
@@ -139,7 +149,7 @@ def allot(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
 
 def plan(n: int, both: np.ndarray, k: int) -> list[tuple[list[int], int]]:
     """(bits, threshold) of the partitions that are probed."""
-    options = []
+    options, n = [], max(n, 2)
     for parts in range(1, k + 3):
         groups = group_bits(n, both, parts)
         cost, chosen = allot([estimate(n, both, g, k) for g in groups], k - parts + 1)
@@ -150,16 +160,25 @@ def plan(n: int, both: np.ndarray, k: int) -> list[tuple[list[int], int]]:
 # ---- links ---------------------------------------------------------------------------------------
 
 
-def forest(fps: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among distinct fingerprints: each node but a root, with its root."""
+def forest(fps: np.ndarray, k: int, sketch: np.ndarray | None = None, far: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links: places of each node but a root, and of its root.
+
+    With ``sketch`` (rows of unsigned longs) a link's sketches differ in at most ``far`` bits too.
+    """
     n = len(fps)
     root = np.arange(n)
     step = max(1, (1 << 22) // max(n, 1))
-
     for at in range(0, n, step):
         near = np.bitwise_count(fps[at : at + step, None] ^ fps[None, at:]) <= k
         i, j = np.nonzero(near)
-        i, j = root[i + at], root[j + at]
+        i, j = i + at, j + at
+        if sketch is not None:
+            same = np.zeros(len(i), bool)
+            for part in range(0, len(i), 1 << 20):
+                cut = slice(part, part + (1 << 20))
+                same[cut] = np.bitwise_count(sketch[i[cut]] ^ sketch[j[cut]]).sum(axis=1, dtype=np.int64) <= far
+            i, j = i[same], j[same]
+        i, j = root[i], root[j]
         while (open_ := i != j).any():  # hook the larger root to the smaller one, then follow to the end
             i, j = i[open_], j[open_]
             np.minimum.at(root, np.maximum(i, j), np.minimum(i, j))
@@ -167,7 +186,7 @@ def forest(fps: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
                 root = up
             i, j = root[i], root[j]
     node = np.nonzero(root != np.arange(n))[0]
-    return fps[node], fps[root[node]]
+    return node, root[node]
 
 
 def bit_mask(bits: list[int]) -> int:
@@ -186,56 +205,65 @@ def keys(fp: Column, parts: list[tuple[list[int], int]]) -> Column:
     return F.array(*out)
 
 
-def links(fps: DataFrame, parts: list[tuple[list[int], int]], k: int) -> DataFrame:
-    """Edges (a, b) that join distinct fingerprints at most ``k`` bits apart into the right components."""
-    spark = fps.sparkSession
-    rows = fps.select("fp", F.explode(keys(F.col("fp"), parts)).alias("at")).select("fp", "at.*")
-    sizes = materialize(rows.groupBy("part", "key").agg(F.count("*").alias("n")).filter("n > 1"), "groups")
+def links(rows: DataFrame, parts: list[tuple[list[int], int]], k: int, far: int | None = None) -> DataFrame:
+    """Edges (a, b) that join the nodes of linked rows into the right components.
+
+    ``rows`` has node (distinct longs), fp and, where ``far`` is given, sketch (binary).
+    """
+    spark, more = rows.sparkSession, ["sketch"] if far is not None else []
+    entered = rows.select("node", "fp", *more, F.explode(keys(F.col("fp"), parts)).alias("at")).select("node", "fp", *more, "at.*")
+    sizes = rows.select(F.explode(keys(F.col("fp"), parts)).alias("at")).select("at.*").groupBy("part", "key").agg(F.count("*").alias("n"))
+    sizes = materialize(sizes.filter("n > 1"), "groups")
     blocks = F.ceil(F.sqrt("n") / BLOCK).cast("int")
-    met = rows.join(sizes, ["part", "key"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+    met = entered.join(sizes, ["part", "key"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("fp", "part", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt = met.repartition("part", "key", "i", "j").sortWithinPartitions("part", "key", "i", "j", "fp")
+    met = met.select("node", "fp", *more, "part", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = met.repartition("part", "key", "i", "j").sortWithinPartitions("part", "key", "i", "j", "node")
+    group = ["part", "key", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compare(cols: list[np.ndarray]) -> pa.RecordBatch | None:
-            change = np.any([c[1:] != c[:-1] for c in cols[1:]], axis=0)
-            ends = np.append(np.nonzero(change)[0] + 1, len(cols[0]))
-            begins, fp = np.append(0, ends[:-1]), cols[0].view(np.uint64)
+        def compare(cols: dict[str, np.ndarray]) -> pa.RecordBatch:
+            change = np.any([cols[c][1:] != cols[c][:-1] for c in group], axis=0)
+            ends = np.append(np.nonzero(change)[0] + 1, len(change) + 1)
+            begins, fp, node, sketch = np.append(0, ends[:-1]), cols["fp"].view(np.uint64), cols["node"], cols.get("sketch")
             pairs = begins[ends - begins == 2]
             near = pairs[np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= k]
-            a, b = [fp[near]], [fp[near + 1]]
+            if sketch is not None:
+                near = near[np.bitwise_count(sketch[near] ^ sketch[near + 1]).sum(axis=1, dtype=np.int64) <= far]
+            a, b = [node[near]], [node[near + 1]]
             for x, y in zip(begins, ends, strict=True):
                 if y - x > 2:
-                    node, root = forest(np.unique(fp[x:y]), k)
-                    a.append(node)
-                    b.append(root)
-            a, b = np.concatenate(a), np.concatenate(b)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+                    child, root = forest(fp[x:y], k, None if sketch is None else sketch[x:y], far or 0)
+                    a.append(node[x:y][child])
+                    b.append(node[x:y][root])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-        held: list[np.ndarray] | None = None
+        held: dict[str, np.ndarray] | None = None
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "part", "key", "i", "j")]
+            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "fp", *group)}
+            if more:
+                cols["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u8").reshape(batch.num_rows, -1)
             if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            if not len(cols[0]):
+                cols = {c: np.concatenate([held[c], x]) for c, x in cols.items()}
+            n = len(cols["fp"])
+            if not n:
                 continue
-            same = np.all([c == c[-1] for c in cols[1:]], axis=0)
-            start = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            same = np.all([cols[c] == cols[c][-1] for c in group], axis=0)
+            start = 0 if same.all() else n - int(np.argmin(same[::-1]))
             if start:
-                yield compare([c[:start] for c in cols])
-            held = [c[start:] for c in cols]
-        if held is not None and len(held[0]):
+                yield compare({c: x[:start] for c, x in cols.items()})
+            held = {c: x[start:] for c, x in cols.items()}
+        if held is not None and len(held["fp"]):
             yield compare(held)
 
     arrow_rows(spark, 16384)
     return dealt.mapInArrow(run, "a long, b long").filter("a <> b")
 
 
-def classes(fps: DataFrame, k: int = 2) -> DataFrame:
-    """(node, root) for the fingerprints of ``fps`` (distinct) that link to another one."""
-    n, both = bit_counts(fps)
-    return components(links(fps, plan(n, both, k), k))
+def classes(rows: DataFrame, k: int = 2, far: int | None = None) -> DataFrame:
+    """(node, root) for the nodes of ``rows`` (node, fp and perhaps sketch) that link to another one."""
+    n, both = bit_counts(rows)
+    return components(links(rows, plan(n, both, k), k, far))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 2, width: int = 3) -> DataFrame:
@@ -254,22 +282,138 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def component_of(fps: DataFrame, k: int) -> DataFrame:
     """(fp, low): for each distinct fingerprint the least ``low`` of its component."""
-    linked = classes(fps, k).withColumnsRenamed({"node": "fp"})
+    linked = classes(fps.select(F.col("fp").alias("node"), "fp"), k).withColumnsRenamed({"node": "fp"})
     lows = linked.join(fps, "fp").groupBy("root").agg(F.min("low").alias("least"))
     moved = linked.join(lows, "root").select("fp", "least")
     both = fps.join(moved, "fp", "left").withColumn("low", F.coalesce("least", "low")).select("fp", "low")
     return materialize(both, "classes")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 2, width: int = 3) -> DataFrame:
-    """One row of each component, that with the smallest id (null last), with the columns of ``docs``.
+# ---- similar texts ---------------------------------------------------------------------------------
+
+#: Bits of fingerprints of distinct words, and of 256-bit sketches of shingles, in which similar texts may differ.
+WORD_BITS, SKETCH_BITS = 7, 52
+#: Texts of a component that one task compares; larger components are reduced leader by leader before.
+GROUP = 256
+LANES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """Four hashes of each hash."""
+    x = hashes[:, None] ^ LANES[None]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def signature(text: bytes, width: int) -> tuple[int, int, bytes]:
+    """A hash of the words in order, the fingerprint of the distinct words, and the sketch of the distinct shingles."""
+    from xxhash import xxh3_64_intdigest, xxh64_intdigest
+
+    words = text.lower().split()
+    if not words:
+        return 0, 0, bytes(32)
+    distinct = np.fromiter(map(xxh64_intdigest, set(words), repeat(SEED)), np.uint64)
+    shingles = np.unique(shingle_hashes(words, width))
+    return xxh3_64_intdigest(b" ".join(words)), int.from_bytes(majority(distinct), "little"), majority(mixed(shingles))
+
+
+def with_signatures(docs: DataFrame, text_col: str, keep: list[str], names: list[str], width: int) -> DataFrame:
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)), F.col(f"`{text_col}`").cast("string").alias("body"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            said = [signature(t, width) for t in as_bytes(batch.column(len(names)))]
+            whole, fps = (np.array([x[i] for x in said], np.uint64).view(np.int64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(whole), pa.array(fps), pa.array([x[2] for x in said], pa.binary())], names=[*names, "whole", "fp", "sketch"])
+
+    arrow_rows(docs.sparkSession)
+    return rows.mapInArrow(run, f"{fields}, whole long, fp long, sketch binary")
+
+
+def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
+    """(node, body) -> (node, shingles): the distinct shingle hashes of each text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            sets = [np.unique(shingle_hashes(t.lower().split(), width)).view(np.int64) for t in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    arrow_rows(rows.sparkSession, 512)
+    return rows.mapInArrow(run, "node long, shingles array<long>")
+
+
+def is_similar(a: Column, b: Column, similarity: float) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return both >= F.lit(similarity) * (F.size(a) + F.size(b) - both)
+
+
+def repeats(members: DataFrame, similarity: float) -> DataFrame:
+    """(node) of the members (root, low, node, shingles) that are similar to one that stays.
+
+    Members of a component are taken by ``low``; each stays unless it is similar to one that stayed
+    before. Components of more than GROUP members first give up, round by round, all that is
+    similar to their first member, by a join; the rest of each is one task's work.
+    """
+    gone = None
+    while True:
+        large = materialize(members.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("low", "node")).alias("first")).filter(F.col("n") > GROUP), "large")
+        if large.isEmpty():
+            break
+        first = large.select("root", F.col("first.node").alias("node")).join(members.select("node", F.col("shingles").alias("lead")), "node").select("root", F.col("node").alias("leader"), "lead")
+        first = materialize(first, "leaders")
+        judged = members.join(first, "root", "left").withColumn("like", F.coalesce(is_similar(F.col("shingles"), F.col("lead"), similarity), F.lit(False)))
+        judged = materialize(judged.select(*members.columns, "like", F.coalesce(F.col("node") == F.col("leader"), F.lit(False)).alias("led")), "judged")
+        out = judged.filter("like AND NOT led").select("node")
+        gone = out if gone is None else gone.unionAll(out)
+        members = judged.filter("NOT like AND NOT led").drop("like", "led")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+        last = None
+        for batch in batches:
+            out = []
+            for root, node, values in zip(batch.column("root").to_pylist(), batch.column("node").to_pylist(), batch.column("shingles"), strict=True):
+                if root != last:
+                    kept, last = [], root
+                mine = values.values.to_numpy(zero_copy_only=False)
+                for other in kept:
+                    both = len(np.intersect1d(mine, other, assume_unique=True))
+                    if both >= similarity * (len(mine) + len(other) - both):
+                        out.append(node)
+                        break
+                else:
+                    kept.append(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["node"])
+
+    arrow_rows(members.sparkSession, 512)
+    rest = members.select("root", "low", "node", "shingles").repartition("root").sortWithinPartitions("root", "low", "node")
+    rest = rest.mapInArrow(run, "node long")
+    return rest if gone is None else rest.unionAll(gone)
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, similarity: float = 0.8, k: int = WORD_BITS, far: int = SKETCH_BITS) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of texts whose shingles of ``width`` words are similar, one stays.
+
+    Similarity is the shared part of two texts' distinct shingles in all of theirs. Candidates are
+    texts whose fingerprints of distinct words differ in at most ``k`` bits and whose sketches
+    differ in at most ``far`` of 256; they are looked for like any links, and then compared exactly.
+    Of equal texts (in words, but for case) the one with the smallest id stays (null last); each
+    other text that goes is similar to one that stays. Texts without words are equal to each other.
     Rows equal in id are told apart by where they stand in the written table.
     """
     names = docs.columns
     out = [f"k{i}" for i in range(len(names))]
-    rows = materialize(fingerprints(docs, text_col, names, out, width).withColumn("row", F.monotonically_increasing_id()), "fingerprinted")
-    own = F.struct(F.col(out[names.index(id_col)]).isNull().alias("no_id"), F.col(out[names.index(id_col)]).alias("id"), "row")
-    fps = materialize(rows.groupBy("fp").agg(F.min(own).alias("low")), "distinct")
-    kept = component_of(fps, k).select(F.col("low.row").alias("row")).distinct()
+    rows = materialize(with_signatures(docs, text_col, names, out, width).withColumn("row", F.monotonically_increasing_id()), "signed")
+    ident, body = F.col(out[names.index(id_col)]), F.col(out[names.index(text_col)])
+    own = F.struct(ident.isNull().alias("no_id"), ident.alias("id"), "row")
+    texts = rows.groupBy("whole", "fp", "sketch").agg(F.min(own).alias("low"))
+    texts = materialize(texts.select(F.col("low.row").alias("node"), "low", "fp", "sketch"), "texts")
+    linked = classes(texts.select("node", "fp", "sketch"), k, far)
+    members = linked.join(texts.select("node", "low"), "node")
+    bodies = rows.select(F.col("row").alias("node"), body.cast("string").alias("body")).join(linked.select("node"), "node", "left_semi")
+    members = materialize(members.join(shingle_sets(bodies, width), "node").select("root", "low", "node", "shingles"), "members")
+    gone = materialize(repeats(members, similarity), "repeats")
+    kept = texts.join(gone, "node", "left_anti").select(F.col("node").alias("row"))
     return rows.join(kept, "row", "left_semi").select(*(F.col(o).alias(n) for n, o in zip(names, out, strict=True)))
