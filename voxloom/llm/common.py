@@ -69,3 +69,8 @@ def text_column(name: str) -> Column:
 def crc_mod(name: str, modulus: int) -> Column:
     """crc32 of the id as text, mod ``modulus``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+def thinned(key: Column, rows: int, wanted: int) -> Column:
+    """True for about twice ``wanted`` of ``rows`` rows, told by a hash of ``key``: what is left is few enough to sort."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 30)) <= F.lit(int(min(1.0, 2 * wanted / max(rows, 1)) * (1 << 30)))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import arrow_rows, as_bytes, crc_mod, materialize, slices
+from voxloom.llm.common import arrow_rows, as_bytes, crc_mod, materialize, slices, thinned
 
 STATES, OWN, SHARED, KNOWN = 8, 1 << 15, 1 << 11, 1 << 18
 ROUNDS, WARM_ROUNDS, WARM_DOCS = 2, 12, 1_500
@@ -280,10 +280,12 @@ def vocabulary(counts: DataFrame, documents: int, own: int = OWN, known: int = K
 # ---- training and scoring --------------------------------------------------------------------------
 
 
-def train(docs: DataFrame, text_col: str, vocab: Vocabulary, *, states: int = STATES, rounds: int = ROUNDS, seed: int = 7, id_col: str = "doc_id") -> Model:
+def train(docs: DataFrame, text_col: str, vocab: Vocabulary, documents: int, *, states: int = STATES, rounds: int = ROUNDS, seed: int = 7, id_col: str = "doc_id") -> Model:
     spark = docs.sparkSession
     share, vocab = vocab.share(), vocab.ready()
-    picked = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{id_col}`").cast("string")).alias("h")).orderBy("h", F.length("text")).limit(WARM_DOCS)
+    key = F.col(f"`{id_col}`").cast("string")
+    few = docs.filter(thinned(key, documents, WARM_DOCS)).select(F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(key).alias("h"))
+    picked = few.orderBy("h", F.length("text")).limit(WARM_DOCS)
     sample = [vocab.read((r["text"] or "").encode())[0] for r in picked.select("text").toLocalIterator()]
     model = warm_start(sample, share, states, WARM_ROUNDS, seed)
     sent_vocab = spark.sparkContext.broadcast(vocab)  # ``known`` words
@@ -330,8 +332,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, he
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), held)
     learned = rows.filter(~F.col("held_out"))
     counts = materialize(count_words(learned, "text"), "words")
-    vocab, _, at_known = vocabulary(counts, learned.select("doc_id").count(), own, known, shared)
-    model = train(learned, "text", vocab, states=states, rounds=rounds)
+    documents = learned.select("doc_id").count()
+    vocab, _, at_known = vocabulary(counts, documents, own, known, shared)
+    model = train(learned, "text", vocab, documents, states=states, rounds=rounds)
     sent = spark.sparkContext.broadcast((vocab, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

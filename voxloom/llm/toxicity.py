@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import arrow_rows, as_bytes, crc_mod, slices
+from voxloom.llm.common import arrow_rows, as_bytes, crc_mod, slices, thinned
 
 SLOTS, RANK = 1 << 18, 4
 #: Bounds of the training sample: this many rows of either label at most, those of the least hash.
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     known = known.filter(F.col("id").isNotNull() & F.col("label").isin(0, 1)).filter(crc_mod("id", held_out_mod) != 0).groupBy("id").agg(F.max("label").alias("label"))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    picked = [known.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(n) for k, n in SAMPLE.items()]
+    picked = [known.filter((F.col("label") == k) & thinned(F.col("id"), counts.get(k, 0), n)).orderBy(F.xxhash64("id"), "id").limit(n) for k, n in SAMPLE.items()]
     sample = F.broadcast(picked[0].unionAll(picked[1]))  # the sum of SAMPLE rows at most
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(sample, "id").select("id", "label", "text")
 
