@@ -25,9 +25,9 @@ from voxloom.llm.graph import components
 
 BITS, SEED = 64, 42
 #: A group of g fingerprints is compared in blocks of BLOCK times the root of g.
-BLOCK = 6
-#: Costs of a probe and of a comparison, relative to each other.
-PROBE_COST, PAIR_COST = 20.0, 1.0
+BLOCK = 16
+#: Costs of a probe (a row that is written, sorted and read) and of a comparison (a few machine operations in an array).
+PROBE_COST, PAIR_COST = 1000.0, 1.0
 
 
 def majority(hashes: np.ndarray) -> bytes:
