@@ -254,6 +254,19 @@ def test_deduplicate_near_copies(spark, monkeypatch, group):
     assert len(pairs) <= 2
 
 
+@pytest.mark.parametrize("share", [0.95, 0.87, 0.81])
+def test_deduplicate_cut_and_extended(spark, share):
+    rng = np.random.default_rng(7)
+    texts = []
+    for i in range(60):
+        words = [f"v{x}" for x in rng.integers(0, 300, 200)]
+        cut = words[: int(200 * share) + 1]
+        texts += [" ".join(words), " ".join(cut if i % 2 else words + [f"x{i}n{j}" for j in range(int(195 / share) - 196)])]
+    assert all(similar(texts[i], texts[i + 1]) for i in range(0, 120, 2))
+    kept = sorted(r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert kept == list(range(0, 120, 2))
+
+
 def test_deduplicate_messy(spark, messy):
     out = simhash.deduplicate(messy)
     assert out.columns == messy.columns

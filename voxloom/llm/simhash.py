@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import arrow_rows, as_bytes, materialize, slices
+from voxloom.llm.common import arrow_rows, as_bytes, materialize, slices, thinned
 from voxloom.llm.graph import components
 
 BITS, SEED = 64, 42
@@ -291,45 +291,62 @@ def component_of(fps: DataFrame, k: int) -> DataFrame:
 
 # ---- similar texts ---------------------------------------------------------------------------------
 
-#: Bits of fingerprints of distinct words, and of 256-bit sketches of shingles, in which similar texts may differ.
-WORD_BITS, SKETCH_BITS = 7, 52
 #: Texts of a component that one task compares; larger components are reduced leader by leader before.
+#: Texts under one shingle beyond that number first meet by way of one of them.
 GROUP = 256
-LANES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+#: Shingles of their prefixes that similar texts share at least (or all that they must share, where that is less).
+SHARED = 8
+#: Texts from which frequent shingles are told, how often these are seen there at least, and how many are kept.
+ORDER_TEXTS, ORDER_SEEN, ORDER_KEPT = 4000, 3, 1 << 16
 
 
-def mixed(hashes: np.ndarray) -> np.ndarray:
-    """Four hashes of each hash."""
-    x = hashes[:, None] ^ LANES[None]
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(31))
+def frequent_shingles(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ascending) of shingles that are frequent in some of the texts, and in how many they are seen.
 
-
-def signature(text: bytes, width: int) -> tuple[int, int, bytes]:
-    """A hash of the words in order, the fingerprint of the distinct words, and the sketch of the distinct shingles."""
+    They only order shingles: any order finds the same pairs, this one by fewer comparisons.
+    """
+    text = F.col(f"`{text_col}`").cast("string")
+    some = docs.filter(thinned(text, docs.count(), ORDER_TEXTS // 2)).select(F.lit(0).cast("long"), text).distinct()
+    seen = shingle_sets(some, width).select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= ORDER_SEEN)
+    rows = seen.orderBy(F.desc("n"), "h").limit(ORDER_KEPT).collect()
+    hashes, counts = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of a text's distinct shingles (ascending), the frequent ones last, of which a similar text must share SHARED."""
+    hashes, counts = frequent
+    n = len(shingles)
+    if len(hashes) and n:
+        at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
+        shingles = shingles[np.argsort(np.where(hashes[at] == shingles, counts[at], 0), kind="stable")]
+    return shingles[: n - int(np.ceil(similarity * n - 1e-6)) + SHARED]
+
+
+def with_prefixes(docs: DataFrame, text_col: str, keep: list[str], names: list[str], width: int, similarity: float) -> DataFrame:
+    """The columns ``keep`` as ``names``, two hashes of the words in order, number of distinct shingles, and their prefix."""
     from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
-    words = text.lower().split()
-    if not words:
-        return 0, 0, bytes(32)
-    distinct = np.fromiter(map(xxh64_intdigest, set(words), repeat(SEED)), np.uint64)
-    shingles = np.unique(shingle_hashes(words, width))
-    return xxh3_64_intdigest(b" ".join(words)), int.from_bytes(majority(distinct), "little"), majority(mixed(shingles))
-
-
-def with_signatures(docs: DataFrame, text_col: str, keep: list[str], names: list[str], width: int) -> DataFrame:
+    frequent = frequent_shingles(docs, text_col, width)
     rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)), F.col(f"`{text_col}`").cast("string").alias("body"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            said = [signature(t, width) for t in as_bytes(batch.column(len(names)))]
-            whole, fps = (np.array([x[i] for x in said], np.uint64).view(np.int64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(whole), pa.array(fps), pa.array([x[2] for x in said], pa.binary())], names=[*names, "whole", "fp", "sketch"])
+            whole, other, sizes, firsts = [], [], [], []
+            for text in as_bytes(batch.column(len(names))):
+                words = text.lower().split()
+                joined, shingles = b" ".join(words), np.unique(shingle_hashes(words, width))
+                whole.append(xxh3_64_intdigest(joined))
+                other.append(xxh64_intdigest(joined, SEED))
+                sizes.append(len(shingles))
+                firsts.append(prefix(shingles, frequent, similarity).view(np.int64))
+            hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (whole, other)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *hashes, pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=[*names, "whole", "other", "size", "first"])
 
     arrow_rows(docs.sparkSession)
-    return rows.mapInArrow(run, f"{fields}, whole long, fp long, sketch binary")
+    return rows.mapInArrow(run, f"{fields}, whole long, other long, size int, first array<long>")
 
 
 def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
@@ -349,6 +366,55 @@ def is_similar(a: Column, b: Column, similarity: float) -> Column:
     return both >= F.lit(similarity) * (F.size(a) + F.size(b) - both)
 
 
+def verified(pairs: DataFrame, bodies: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts (node, body) are similar."""
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = materialize(shingle_sets(bodies.join(nodes, "node", "left_semi"), width), "sets")
+    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+    like = pairs.join(left, "a").join(right, "b").filter(is_similar(F.col("of_a"), F.col("of_b"), similarity))
+    return materialize(like.select("a", "b"), "similar")
+
+
+def likely(met: DataFrame) -> DataFrame:
+    """(a, b) of the meetings (a, b, size of a) that share a good part of a prefix: worth comparing ahead of the others."""
+    return met.groupBy("a", "b", "size").agg(F.count("*").alias("c")).filter("c * 20 >= size").select("a", "b")
+
+
+def similar_classes(texts: DataFrame, bodies: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(node, root) for every text (node, size, first) that is similar to another one, or by way of others.
+
+    If texts must share o shingles, the first SHARED of these (or all o) are in both prefixes. Of the
+    texts under a shingle, those likely to be similar to one of them are compared with it first;
+    what that has linked need not be compared again. Of the other pairs all are that share enough
+    of their prefixes, at places that allow it.
+    """
+    entered = texts.select("node", "size", F.posexplode("first").alias("place", "shingle"))
+    groups = entered.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("lead")).filter("n > 1")
+    members = materialize(entered.join(materialize(groups, "groups"), "shingle"), "members")
+    similar = verified(likely(members.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"), "size")), bodies, width, similarity)
+    for turn in range(3):
+        linked = components(similar)
+        now = members.drop("lead", "n", "root").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        now = materialize(now, "members")
+        lead = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("lead")
+        groups = now.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), lead)
+        groups = groups.filter("low <> high").select("shingle", "n", F.col("lead.node").alias("lead"))
+        members = materialize(now.join(materialize(groups, "groups"), "shingle"), "members")
+        if turn == 2 or members.filter(F.col("n") > GROUP).isEmpty():
+            break
+        leads = members.filter("node = lead").select("shingle", F.col("root").alias("lead_root"))
+        pairs = members.join(leads, "shingle").filter("root <> lead_root").select(F.col("node").alias("a"), F.col("lead").alias("b"), "size")
+        similar = materialize(similar.unionAll(verified(likely(pairs), bodies, width, similarity)), "similar")
+    a, b = (members.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "size", "place"))) for x in "ab")
+    least = F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-6 - (SHARED - 1)
+    may = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (F.least(F.expr("size_a - place_a"), F.expr("size_b - place_b")) >= least)
+    enough = F.least(F.lit(SHARED), F.ceil(F.lit(similarity) * F.greatest("size_a", "size_b") - 1e-6))
+    met = a.join(b, "shingle").filter(may).groupBy("node_a", "node_b", "size_a", "size_b").agg(F.count("*").alias("c"))
+    pairs = met.filter(F.col("c") >= enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return components(similar.unionAll(verified(pairs, bodies, width, similarity)))
+
+
 def repeats(members: DataFrame, similarity: float) -> DataFrame:
     """(node) of the members (root, low, node, shingles) that are similar to one that stays.
 
@@ -393,27 +459,26 @@ def repeats(members: DataFrame, similarity: float) -> DataFrame:
     return rest if gone is None else rest.unionAll(gone)
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, similarity: float = 0.8, k: int = WORD_BITS, far: int = SKETCH_BITS) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of texts whose shingles of ``width`` words are similar, one stays.
 
-    Similarity is the shared part of two texts' distinct shingles in all of theirs. Candidates are
-    texts whose fingerprints of distinct words differ in at most ``k`` bits and whose sketches
-    differ in at most ``far`` of 256; they are looked for like any links, and then compared exactly.
-    Of equal texts (in words, but for case) the one with the smallest id stays (null last); each
-    other text that goes is similar to one that stays. Texts without words are equal to each other.
-    Rows equal in id are told apart by where they stand in the written table.
+    Similarity is the shared part of two texts' distinct shingles in all of theirs. Every pair that
+    is similar meets in a component, and there texts are compared exactly. Of equal texts (in words,
+    but for case) the one with the smallest id stays (null last); each other text that goes is
+    similar to one that stays. Texts without words are equal to each other. Rows equal in id are
+    told apart by where they stand in the written table.
     """
     names = docs.columns
     out = [f"k{i}" for i in range(len(names))]
-    rows = materialize(with_signatures(docs, text_col, names, out, width).withColumn("row", F.monotonically_increasing_id()), "signed")
+    rows = materialize(with_prefixes(docs, text_col, names, out, width, similarity).withColumn("row", F.monotonically_increasing_id()), "signed")
     ident, body = F.col(out[names.index(id_col)]), F.col(out[names.index(text_col)])
     own = F.struct(ident.isNull().alias("no_id"), ident.alias("id"), "row")
-    texts = rows.groupBy("whole", "fp", "sketch").agg(F.min(own).alias("low"))
-    texts = materialize(texts.select(F.col("low.row").alias("node"), "low", "fp", "sketch"), "texts")
-    linked = classes(texts.select("node", "fp", "sketch"), k, far)
-    members = linked.join(texts.select("node", "low"), "node")
-    bodies = rows.select(F.col("row").alias("node"), body.cast("string").alias("body")).join(linked.select("node"), "node", "left_semi")
-    members = materialize(members.join(shingle_sets(bodies, width), "node").select("root", "low", "node", "shingles"), "members")
+    lows = materialize(rows.groupBy("whole", "other").agg(F.min(own).alias("low")).select(F.col("low.row").alias("node"), "low"), "texts")
+    texts = rows.select(F.col("row").alias("node"), "size", "first").join(lows.select("node"), "node", "left_semi")
+    bodies = rows.select(F.col("row").alias("node"), body.cast("string").alias("body"))
+    linked = similar_classes(texts, bodies, width, similarity)
+    sets = shingle_sets(bodies.join(linked.select("node"), "node", "left_semi"), width)
+    members = materialize(linked.join(lows, "node").join(sets, "node").select("root", "low", "node", "shingles"), "members")
     gone = materialize(repeats(members, similarity), "repeats")
-    kept = texts.join(gone, "node", "left_anti").select(F.col("node").alias("row"))
+    kept = lows.join(gone, "node", "left_anti").select(F.col("node").alias("row"))
     return rows.join(kept, "row", "left_semi").select(*(F.col(o).alias(n) for n, o in zip(names, out, strict=True)))
