@@ -267,6 +267,23 @@ def test_deduplicate_cut_and_extended(spark, share):
     assert kept == list(range(0, 120, 2))
 
 
+@pytest.mark.parametrize("group", [3, 256])
+def test_deduplicate_copies_that_meet_through_the_original(spark, monkeypatch, group):
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rng = np.random.default_rng(8)
+    words = [f"v{x}" for x in range(1000)]
+    texts = []
+    for i in range(60):
+        w = list(words)
+        for at in rng.choice(1000, 20, replace=False):
+            w[at] = f"e{i}"
+        texts.append(" ".join(w))
+    texts.append(" ".join(words))
+    assert all(similar(t, texts[-1]) for t in texts) and sum(similar(texts[0], t) for t in texts[1:-1]) < 10
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.deduplicate(df).collect()] == [60]
+
+
 def test_deduplicate_messy(spark, messy):
     out = simhash.deduplicate(messy)
     assert out.columns == messy.columns

@@ -415,6 +415,19 @@ def similar_classes(texts: DataFrame, bodies: DataFrame, width: int, similarity:
     return components(similar.unionAll(verified(pairs, bodies, width, similarity)))
 
 
+def from_the_middle(members: DataFrame) -> DataFrame:
+    """``members`` with ``low`` led by the sum of symmetric differences to all of the component, but for a constant.
+
+    A shingle in d of n texts brings that sum of a text that has it down by 2 d - n.
+    """
+    has = members.select("root", "node", F.explode("shingles").alias("h"))
+    seen = materialize(has.groupBy("root", "h").agg(F.count("*").alias("d")).filter("d > 1"), "seen")
+    shared = has.join(seen, ["root", "h"], "left").groupBy("node").agg(F.sum(F.coalesce("d", F.lit(1))).alias("d"), F.count("*").alias("own"))
+    sizes = members.groupBy("root").agg(F.count("*").alias("n"))
+    scored = members.join(materialize(shared, "shared"), "node").join(sizes, "root")
+    return materialize(scored.withColumn("low", F.struct(F.expr("n * own - 2 * d").alias("far"), "low")).select(*members.columns), "members")
+
+
 def repeats(members: DataFrame, similarity: float) -> DataFrame:
     """(node) of the members (root, low, node, shingles) that are similar to one that stays.
 
@@ -464,9 +477,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Similarity is the shared part of two texts' distinct shingles in all of theirs. Every pair that
     is similar meets in a component, and there texts are compared exactly. Of equal texts (in words,
-    but for case) the one with the smallest id stays (null last); each other text that goes is
-    similar to one that stays. Texts without words are equal to each other. Rows equal in id are
-    told apart by where they stand in the written table.
+    but for case) the one with the smallest id stands for all (null last). Texts of a component are
+    taken from its middle outwards, so an original goes before its edited copies whatever its id;
+    no two texts that stay are similar, and each that goes is similar to one that stays. Texts
+    without words are equal to each other. Rows equal in id are told apart by where they stand in
+    the written table.
     """
     names = docs.columns
     out = [f"k{i}" for i in range(len(names))]
@@ -479,6 +494,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = similar_classes(texts, bodies, width, similarity)
     sets = shingle_sets(bodies.join(linked.select("node"), "node", "left_semi"), width)
     members = materialize(linked.join(lows, "node").join(sets, "node").select("root", "low", "node", "shingles"), "members")
-    gone = materialize(repeats(members, similarity), "repeats")
+    gone = materialize(repeats(from_the_middle(members), similarity), "repeats")
     kept = lows.join(gone, "node", "left_anti").select(F.col("node").alias("row"))
     return rows.join(kept, "row", "left_semi").select(*(F.col(o).alias(n) for n, o in zip(names, out, strict=True)))
