@@ -16,16 +16,10 @@ SLICE = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
-
-    Where it is unset (tests in one process) a temporary folder of this machine is set and used.
-    """
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it; an error where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        import tempfile
-
-        path = "file://" + tempfile.mkdtemp(prefix="voxloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path.rstrip("/")
 
 
@@ -33,21 +27,55 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/voxloom/{name}-{uuid.uuid4().hex}"
 
 
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as Parquet at ``path`` and read it back: lineage ends here, and any executor may be lost after."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here.
+    """``df`` as a table in the shared folder, for as long as that folder's owner keeps it."""
+    return write_table(df, shared_path(df.sparkSession, name))
+
 
-    The files outlive any executor, and every later pass reads the same rows. Temporary tables
-    belong to the shared folder, whose owner clears it as it clears checkpoints.
+class Scratch:
+    """Tables in the shared folder that go when the ``with`` block ends, or before, when ``drop`` names them.
+
+    What an operator returns lazily must not read from them: write that by ``materialize``.
     """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
 
-def arrow_rows(spark: SparkSession, rows: int = 2048) -> None:
-    """Bound what one Arrow batch holds, since texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    def __enter__(self) -> Scratch:
+        return self
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, name)
+        out = write_table(df, path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for t in tables:
+            if t is not None and id(t) in self.paths:
+                delete(self.spark, self.paths.pop(id(t))[1])
+
+    def __exit__(self, *why: object) -> None:
+        self.drop(*[t for t, _ in self.paths.values()])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def arrow_rows(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds, in rows and bytes, since texts may be long.
+
+    The bounds are the same wherever this is called, so a lazy plan does not depend on what ran since.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 

@@ -167,7 +167,7 @@ def search_units(units: DataFrame, most: int) -> DataFrame:
         yield from merging(found(), most)
 
     dealt = units.repartition("table", "bucket", "i", "j").sortWithinPartitions("table", "bucket", "i", "j", "asks")
-    arrow_rows(units.sparkSession, 8192)
+    arrow_rows(units.sparkSession)
     return dealt.mapInArrow(run, "query long, ids array<long>, scores array<double>")
 
 
@@ -226,7 +226,7 @@ def nearest(
             flat = np.ascontiguousarray(col.flatten().to_numpy(zero_copy_only=False), "<f8").reshape(-1, dim) + 0.0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in flat], pa.binary())], names=["vec_id", "vec"])
 
-    arrow_rows(spark, 4096)
+    arrow_rows(spark)
     packed = rows.mapInArrow(to_bytes, "vec_id long, vec binary")
     asks = packed.filter(asked(F.col("vec_id"))).select("vec_id", F.xxhash64("vec").alias("key")).distinct()
     queries = materialize(asks, "queries")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import arrow_rows, as_bytes, materialize, slices, thinned
+from voxloom.llm.common import Scratch, arrow_rows, as_bytes, materialize, slices
 from voxloom.llm.graph import components
 
 BITS, SEED = 64, 42
@@ -117,7 +117,7 @@ def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
 
 
 def estimate(n: int, both: np.ndarray, group: list[int], most: int) -> list[float]:
-    """Cost of a partition at thresholds -1, 0, 1, ...: probes, and pairs expected to meet."""
+    """Cost of a partition at thresholds -1, 0, 1, ...: pairs expected to meet, and probes, each a row for every block of its group."""
     p = both.diagonal() / max(n, 1)
     differ = np.zeros(most + 1)
     differ[0] = 1.0
@@ -129,7 +129,8 @@ def estimate(n: int, both: np.ndarray, group: list[int], most: int) -> list[floa
     for t in range(most + 1):
         near += differ[t]
         keys += len(list(combinations(range(len(group)), t))) if t < 3 else len(group) ** t
-        costs.append(PROBE_COST * n * keys + PAIR_COST * near * n * n / 2)
+        blocks = max(1.0, np.sqrt(near * n) / BLOCK)
+        costs.append(PROBE_COST * n * keys * blocks + PAIR_COST * near * n * n / 2)
     return costs
 
 
@@ -160,11 +161,8 @@ def plan(n: int, both: np.ndarray, k: int) -> list[tuple[list[int], int]]:
 # ---- links ---------------------------------------------------------------------------------------
 
 
-def forest(fps: np.ndarray, k: int, sketch: np.ndarray | None = None, far: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links: places of each node but a root, and of its root.
-
-    With ``sketch`` (rows of unsigned longs) a link's sketches differ in at most ``far`` bits too.
-    """
+def forest(fps: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links: places of each node but a root, and of its root."""
     n = len(fps)
     root = np.arange(n)
     step = max(1, (1 << 22) // max(n, 1))
@@ -172,12 +170,6 @@ def forest(fps: np.ndarray, k: int, sketch: np.ndarray | None = None, far: int =
         near = np.bitwise_count(fps[at : at + step, None] ^ fps[None, at:]) <= k
         i, j = np.nonzero(near)
         i, j = i + at, j + at
-        if sketch is not None:
-            same = np.zeros(len(i), bool)
-            for part in range(0, len(i), 1 << 20):
-                cut = slice(part, part + (1 << 20))
-                same[cut] = np.bitwise_count(sketch[i[cut]] ^ sketch[j[cut]]).sum(axis=1, dtype=np.int64) <= far
-            i, j = i[same], j[same]
         i, j = root[i], root[j]
         while (open_ := i != j).any():  # hook the larger root to the smaller one, then follow to the end
             i, j = i[open_], j[open_]
@@ -205,19 +197,19 @@ def keys(fp: Column, parts: list[tuple[list[int], int]]) -> Column:
     return F.array(*out)
 
 
-def links(rows: DataFrame, parts: list[tuple[list[int], int]], k: int, far: int | None = None) -> DataFrame:
+def links(rows: DataFrame, parts: list[tuple[list[int], int]], k: int, scratch: Scratch | None = None) -> DataFrame:
     """Edges (a, b) that join the nodes of linked rows into the right components.
 
-    ``rows`` has node (distinct longs), fp and, where ``far`` is given, sketch (binary).
+    ``rows`` has node (distinct longs) and fp.
     """
-    spark, more = rows.sparkSession, ["sketch"] if far is not None else []
-    entered = rows.select("node", "fp", *more, F.explode(keys(F.col("fp"), parts)).alias("at")).select("node", "fp", *more, "at.*")
+    scratch = scratch or Scratch(rows.sparkSession)
+    entered = rows.select("node", "fp", F.explode(keys(F.col("fp"), parts)).alias("at")).select("node", "fp", "at.*")
     sizes = rows.select(F.explode(keys(F.col("fp"), parts)).alias("at")).select("at.*").groupBy("part", "key").agg(F.count("*").alias("n"))
-    sizes = materialize(sizes.filter("n > 1"), "groups")
+    sizes = scratch.table(sizes.filter("n > 1"), "groups")
     blocks = F.ceil(F.sqrt("n") / BLOCK).cast("int")
     met = entered.join(sizes, ["part", "key"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("node", "fp", *more, "part", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    met = met.select("node", "fp", "part", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     dealt = met.repartition("part", "key", "i", "j").sortWithinPartitions("part", "key", "i", "j", "node")
     group = ["part", "key", "i", "j"]
 
@@ -225,45 +217,41 @@ def links(rows: DataFrame, parts: list[tuple[list[int], int]], k: int, far: int
         def compare(cols: dict[str, np.ndarray]) -> pa.RecordBatch:
             change = np.any([cols[c][1:] != cols[c][:-1] for c in group], axis=0)
             ends = np.append(np.nonzero(change)[0] + 1, len(change) + 1)
-            begins, fp, node, sketch = np.append(0, ends[:-1]), cols["fp"].view(np.uint64), cols["node"], cols.get("sketch")
+            begins, fp, node = np.append(0, ends[:-1]), cols["fp"].view(np.uint64), cols["node"]
             pairs = begins[ends - begins == 2]
             near = pairs[np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= k]
-            if sketch is not None:
-                near = near[np.bitwise_count(sketch[near] ^ sketch[near + 1]).sum(axis=1, dtype=np.int64) <= far]
             a, b = [node[near]], [node[near + 1]]
             for x, y in zip(begins, ends, strict=True):
                 if y - x > 2:
-                    child, root = forest(fp[x:y], k, None if sketch is None else sketch[x:y], far or 0)
+                    child, root = forest(fp[x:y], k)
                     a.append(node[x:y][child])
                     b.append(node[x:y][root])
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-        held: dict[str, np.ndarray] | None = None
-        for batch in batches:
-            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "fp", *group)}
-            if more:
-                cols["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u8").reshape(batch.num_rows, -1)
-            if held is not None:
-                cols = {c: np.concatenate([held[c], x]) for c, x in cols.items()}
-            n = len(cols["fp"])
-            if not n:
-                continue
-            same = np.all([cols[c] == cols[c][-1] for c in group], axis=0)
-            start = 0 if same.all() else n - int(np.argmin(same[::-1]))
-            if start:
-                yield compare({c: x[:start] for c, x in cols.items()})
-            held = {c: x[start:] for c, x in cols.items()}
-        if held is not None and len(held["fp"]):
-            yield compare(held)
-
-    arrow_rows(spark, 16384)
+        for cols in whole_groups(batches, group):
+            yield compare(cols)
+
+    arrow_rows(rows.sparkSession)
     return dealt.mapInArrow(run, "a long, b long").filter("a <> b")
 
 
-def classes(rows: DataFrame, k: int = 2, far: int | None = None) -> DataFrame:
-    """(node, root) for the nodes of ``rows`` (node, fp and perhaps sketch) that link to another one."""
-    n, both = bit_counts(rows)
-    return components(links(rows, plan(n, both, k), k, far))
+def whole_groups(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of sorted rows, cut where the columns ``group`` change, so that no group is parted."""
+    held: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        if held is not None:
+            cols = {c: np.concatenate([held[c], x]) for c, x in cols.items()}
+        n = batch.num_rows and len(cols[group[0]])
+        if not n:
+            continue
+        same = np.all([cols[c] == cols[c][-1] for c in group], axis=0)
+        start = 0 if same.all() else n - int(np.argmin(same[::-1]))
+        if start:
+            yield {c: x[:start] for c, x in cols.items()}
+        held = {c: x[start:] for c, x in cols.items()}
+    if held is not None and len(held[group[0]]):
+        yield held
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 2, width: int = 3) -> DataFrame:
@@ -275,14 +263,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An empty table gives no row; other columns are not read.
     """
     found = materialize(fingerprints(docs, text_col, [id_col], ["doc_id"], width), "fingerprints")
-    fps = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    named = component_of(fps, k)
+    with Scratch(docs.sparkSession) as scratch:
+        fps = scratch.table(found.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+        named = component_of(fps, k, scratch)
     return found.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("low").alias("component_id"))
 
 
-def component_of(fps: DataFrame, k: int) -> DataFrame:
+def component_of(fps: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """(fp, low): for each distinct fingerprint the least ``low`` of its component."""
-    linked = classes(fps.select(F.col("fp").alias("node"), "fp"), k).withColumnsRenamed({"node": "fp"})
+    rows = fps.select(F.col("fp").alias("node"), "fp")
+    n, both = bit_counts(rows)
+    linked = components(links(rows, plan(n, both, k), k, scratch), scratch).withColumnsRenamed({"node": "fp"})
     lows = linked.join(fps, "fp").groupBy("root").agg(F.min("low").alias("least"))
     moved = linked.join(lows, "root").select("fp", "least")
     both = fps.join(moved, "fp", "left").withColumn("low", F.coalesce("least", "low")).select("fp", "low")
@@ -290,63 +281,103 @@ def component_of(fps: DataFrame, k: int) -> DataFrame:
 
 
 # ---- similar texts ---------------------------------------------------------------------------------
-
-#: Texts of a component that one task compares; larger components are reduced leader by leader before.
-#: Texts under one shingle beyond that number first meet by way of one of them.
-GROUP = 256
-#: Shingles of their prefixes that similar texts share at least (or all that they must share, where that is less).
-SHARED = 8
-#: Texts from which frequent shingles are told, how often these are seen there at least, and how many are kept.
-ORDER_TEXTS, ORDER_SEEN, ORDER_KEPT = 4000, 3, 1 << 16
-
-
-def frequent_shingles(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (ascending) of shingles that are frequent in some of the texts, and in how many they are seen.
-
-    They only order shingles: any order finds the same pairs, this one by fewer comparisons.
+#
+# Fingerprints of texts that are similar by 0.8 differ in some 10 of 64 bits: a pigeonhole over bits
+# that finds all of these has to compare nearly all pairs. So fingerprints find the near copies, in
+# large groups too, and the pigeonhole over the shingles themselves finds every other similar pair.
+
+#: Bits in which fingerprints of the first candidates differ at most.
+NEAR_BITS = 3
+#: Texts under one shingle key beyond that number first meet by way of one of them, for LEADS rounds.
+GROUP, LEADS = 256, 3
+#: Sizes of a class lie within this ratio; texts meet in the class of the larger one.
+RATIO = 1.5
+#: A similar pair meets in no part with at most this probability (over the hash that deals shingles to parts).
+MISS = 1e-9
+
+
+def part_counts(similarity: float, classes: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each class: its least size, how many parts shingles are dealt to, and the least size of the class below that meets it.
+
+    Similar sets a and b differ in at most (a + b) (1 - s) / (1 + s) elements, d for the largest
+    of a class. With d + 1 parts one at least has no difference. With fewer parts m, each is
+    without one with probability (1 - 1 / m) ** d, and the least m that misses all with no more
+    than MISS is taken.
     """
-    text = F.col(f"`{text_col}`").cast("string")
-    some = docs.filter(thinned(text, docs.count(), ORDER_TEXTS // 2)).select(F.lit(0).cast("long"), text).distinct()
-    seen = shingle_sets(some, width).select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= ORDER_SEEN)
-    rows = seen.orderBy(F.desc("n"), "h").limit(ORDER_KEPT).collect()
-    hashes, counts = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], counts[order]
-
-
-def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The first of a text's distinct shingles (ascending), the frequent ones last, of which a similar text must share SHARED."""
-    hashes, counts = frequent
-    n = len(shingles)
-    if len(hashes) and n:
-        at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
-        shingles = shingles[np.argsort(np.where(hashes[at] == shingles, counts[at], 0), kind="stable")]
-    return shingles[: n - int(np.ceil(similarity * n - 1e-6)) + SHARED]
-
-
-def with_prefixes(docs: DataFrame, text_col: str, keep: list[str], names: list[str], width: int, similarity: float) -> DataFrame:
-    """The columns ``keep`` as ``names``, two hashes of the words in order, number of distinct shingles, and their prefix."""
+    first = np.unique(np.ceil(RATIO ** np.arange(classes)).astype(np.int64))
+    last = np.append(first[1:] - 1, 1 << 62)[: len(first)]
+    differ = np.floor(2 * last * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    parts = differ + 1
+    for c, d in enumerate(differ):
+        low, high = 1.0, d + 1
+        while high - low > 1 and d > 30:
+            m = np.floor((low + high) / 2)
+            low, high = (low, m) if m * np.log1p(-np.exp(d * np.log1p(-1 / m))) <= np.log(MISS) else (m, high)
+        parts[c] = high if d > 30 else d + 1
+    return first, parts.astype(np.uint64), np.ceil(first * similarity - 1e-6).astype(np.int64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of unsigned longs that spreads all bits."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def part_keys(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of sets and keys under which they are entered: similar sets share one (but see ``part_counts``).
+
+    A key is a hash of a class, a part of it, and what of the set lies in that part; empty parts have none.
+    """
+    first, parts, reach = part_counts(similarity)
+    size = np.array([len(x) for x in sets], np.int64)
+    every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    own = np.searchsorted(first, size, side="right") - 1
+    where, out = [], []
+    for above in (0, 1):
+        in_class = np.minimum(own + above, len(first) - 1)
+        some = (size > 0) & ((above == 0) | (size >= reach[in_class]))
+        if not some.any():
+            continue
+        m = np.where(some, parts[in_class], 0).astype(np.uint64)
+        base = np.cumsum(m) - m
+        text, values = np.repeat(np.arange(len(sets)), np.where(some, size, 0)), every[np.repeat(some, size)]
+        spread = mixed(values ^ mixed(in_class.astype(np.uint64))[text])
+        slot = (base[text] + (((spread >> np.uint64(32)) * m[text]) >> np.uint64(32))).astype(np.int64)
+        total = np.zeros(int(m.sum()), np.uint64)
+        np.add.at(total, slot, mixed(spread))
+        used = np.zeros(len(total), bool)
+        used[slot] = True
+        used = np.nonzero(used)[0]
+        owner = np.searchsorted(base[some], used.astype(np.uint64), side="right") - 1
+        owner = np.nonzero(some)[0][owner]
+        part = used.astype(np.uint64) - base[owner]
+        where.append(owner)
+        out.append(mixed(total[used] ^ mixed(part ^ (in_class[owner].astype(np.uint64) << np.uint64(48)))))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(where), np.concatenate(out)
+
+
+def signed_texts(docs: DataFrame, text_col: str, keep: list[str], names: list[str], width: int) -> DataFrame:
+    """The columns ``keep`` as ``names``, two hashes of the words in order, and the fingerprint of the distinct shingles."""
     from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
-    frequent = frequent_shingles(docs, text_col, width)
     rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)), F.col(f"`{text_col}`").cast("string").alias("body"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            whole, other, sizes, firsts = [], [], [], []
+            found: list[tuple[int, int, int]] = []
             for text in as_bytes(batch.column(len(names))):
                 words = text.lower().split()
                 joined, shingles = b" ".join(words), np.unique(shingle_hashes(words, width))
-                whole.append(xxh3_64_intdigest(joined))
-                other.append(xxh64_intdigest(joined, SEED))
-                sizes.append(len(shingles))
-                firsts.append(prefix(shingles, frequent, similarity).view(np.int64))
-            hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (whole, other)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *hashes, pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=[*names, "whole", "other", "size", "first"])
+                found.append((xxh3_64_intdigest(joined), xxh64_intdigest(joined, SEED), int.from_bytes(majority(shingles), "little") if len(shingles) else 0))
+            hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in zip(*found, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *hashes], names=[*names, "whole", "other", "fp"])
 
     arrow_rows(docs.sparkSession)
-    return rows.mapInArrow(run, f"{fields}, whole long, other long, size int, first array<long>")
+    return rows.mapInArrow(run, f"{fields}, whole long, other long, fp long")
 
 
 def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
@@ -357,143 +388,138 @@ def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
             sets = [np.unique(shingle_hashes(t.lower().split(), width)).view(np.int64) for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    arrow_rows(rows.sparkSession, 512)
-    return rows.mapInArrow(run, "node long, shingles array<long>")
+    arrow_rows(rows.sparkSession)
+    return rows.select("node", "body").mapInArrow(run, "node long, shingles array<long>")
 
 
-def is_similar(a: Column, b: Column, similarity: float) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return both >= F.lit(similarity) * (F.size(a) + F.size(b) - both)
+def shared_keys(bodies: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(key, node): the shingle keys that two or more of the texts (node, body) are entered under.
 
+    One shuffle of (key, node); a task reads its keys in order and holds one row at a time.
+    """
 
-def verified(pairs: DataFrame, bodies: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts (node, body) are similar."""
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialize(shingle_sets(bodies.join(nodes, "node", "left_semi"), width), "sets")
-    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
-    like = pairs.join(left, "a").join(right, "b").filter(is_similar(F.col("of_a"), F.col("of_b"), similarity))
-    return materialize(like.select("a", "b"), "similar")
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(shingle_hashes(t.lower().split(), width)) for t in as_bytes(batch.column(1))]
+            where, found = part_keys(sets, similarity)
+            node = batch.column(0).to_numpy()[where]
+            for at in range(0, len(node), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(found[at : at + (1 << 16)].view(np.int64)), pa.array(node[at : at + (1 << 16)])], names=["key", "node"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, int] | None = None  # the row before this batch, if it has not been sent
+        before: int | None = None  # its key
+        for batch in batches:
+            key, node = (batch.column(c).to_numpy() for c in ("key", "node"))
+            if not len(key):
+                continue
+            same = key[1:] == key[:-1]
+            joins = np.append(key[0] == before, same) if before is not None else np.append(False, same)
+            send = joins | np.append(same, False)
+            if joins[0] and last is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], names=["key", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[send]), pa.array(node[send])], names=["key", "node"])
+            before, last = int(key[-1]), None if send[-1] else (int(key[-1]), int(node[-1]))
 
+    arrow_rows(bodies.sparkSession)
+    entered = bodies.select("node", "body").mapInArrow(enter, "key long, node long")
+    return entered.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "key long, node long")
 
-def likely(met: DataFrame) -> DataFrame:
-    """(a, b) of the meetings (a, b, size of a) that share a good part of a prefix: worth comparing ahead of the others."""
-    return met.groupBy("a", "b", "size").agg(F.count("*").alias("c")).filter("c * 20 >= size").select("a", "b")
 
+def is_similar(a: Column, b: Column, similarity: float) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return both >= F.lit(similarity) * (F.size(a) + F.size(b) - both)
 
-def similar_classes(texts: DataFrame, bodies: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(node, root) for every text (node, size, first) that is similar to another one, or by way of others.
 
-    If texts must share o shingles, the first SHARED of these (or all o) are in both prefixes. Of the
-    texts under a shingle, those likely to be similar to one of them are compared with it first;
-    what that has linked need not be compared again. Of the other pairs all are that share enough
-    of their prefixes, at places that allow it.
-    """
-    entered = texts.select("node", "size", F.posexplode("first").alias("place", "shingle"))
-    groups = entered.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("lead")).filter("n > 1")
-    members = materialize(entered.join(materialize(groups, "groups"), "shingle"), "members")
-    similar = verified(likely(members.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"), "size")), bodies, width, similarity)
-    for turn in range(3):
-        linked = components(similar)
-        now = members.drop("lead", "n", "root").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        now = materialize(now, "members")
-        lead = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("lead")
-        groups = now.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), lead)
-        groups = groups.filter("low <> high").select("shingle", "n", F.col("lead.node").alias("lead"))
-        members = materialize(now.join(materialize(groups, "groups"), "shingle"), "members")
-        if turn == 2 or members.filter(F.col("n") > GROUP).isEmpty():
-            break
-        leads = members.filter("node = lead").select("shingle", F.col("root").alias("lead_root"))
-        pairs = members.join(leads, "shingle").filter("root <> lead_root").select(F.col("node").alias("a"), F.col("lead").alias("b"), "size")
-        similar = materialize(similar.unionAll(verified(likely(pairs), bodies, width, similarity)), "similar")
-    a, b = (members.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "size", "place"))) for x in "ab")
-    least = F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-6 - (SHARED - 1)
-    may = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (F.least(F.expr("size_a - place_a"), F.expr("size_b - place_b")) >= least)
-    enough = F.least(F.lit(SHARED), F.ceil(F.lit(similarity) * F.greatest("size_a", "size_b") - 1e-6))
-    met = a.join(b, "shingle").filter(may).groupBy("node_a", "node_b", "size_a", "size_b").agg(F.count("*").alias("c"))
-    pairs = met.filter(F.col("c") >= enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    return components(similar.unionAll(verified(pairs, bodies, width, similarity)))
-
-
-def from_the_middle(members: DataFrame) -> DataFrame:
-    """``members`` with ``low`` led by the sum of symmetric differences to all of the component, but for a constant.
-
-    A shingle in d of n texts brings that sum of a text that has it down by 2 d - n.
-    """
-    has = members.select("root", "node", F.explode("shingles").alias("h"))
-    seen = materialize(has.groupBy("root", "h").agg(F.count("*").alias("d")).filter("d > 1"), "seen")
-    shared = has.join(seen, ["root", "h"], "left").groupBy("node").agg(F.sum(F.coalesce("d", F.lit(1))).alias("d"), F.count("*").alias("own"))
-    sizes = members.groupBy("root").agg(F.count("*").alias("n"))
-    scored = members.join(materialize(shared, "shared"), "node").join(sizes, "root")
-    return materialize(scored.withColumn("low", F.struct(F.expr("n * own - 2 * d").alias("far"), "low")).select(*members.columns), "members")
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Those of the pairs (a, b) whose texts' shingles (node, shingles) are similar."""
+    pairs = scratch.table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+    like = pairs.join(left, "a").join(right, "b").filter(is_similar(F.col("of_a"), F.col("of_b"), similarity))
+    out = scratch.table(like.select("a", "b"), "similar")
+    scratch.drop(pairs)
+    return out
 
 
-def repeats(members: DataFrame, similarity: float) -> DataFrame:
-    """(node) of the members (root, low, node, shingles) that are similar to one that stays.
+def similar_classes(texts: DataFrame, bodies: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """(node, root) for every text (node, fp; node, body) that is similar to another one, or by way of others.
 
-    Members of a component are taken by ``low``; each stays unless it is similar to one that stayed
-    before. Components of more than GROUP members first give up, round by round, all that is
-    similar to their first member, by a join; the rest of each is one task's work.
+    Candidates are, first, the fingerprints' links; then, under each shingle key, of texts that are
+    not yet in one class: all pairs, or in groups of more than GROUP texts those with one of them
+    (first the one that shares most keys), for up to LEADS rounds. What these rounds have linked
+    need not be compared again. What of a large group is in different classes after that meets in
+    pairs of blocks.
     """
-    gone = None
-    while True:
-        large = materialize(members.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("low", "node")).alias("first")).filter(F.col("n") > GROUP), "large")
-        if large.isEmpty():
+    members = scratch.table(shared_keys(bodies, width, similarity), "members")
+    nodes = scratch.table(members.groupBy("node").agg(F.count("*").alias("shares")), "nodes")
+    sets = scratch.table(shingle_sets(bodies.join(nodes, "node", "left_semi"), width), "sets")
+    n, both = bit_counts(texts)
+    similar = verified(links(texts, plan(n, both, NEAR_BITS), NEAR_BITS, scratch), sets, similarity, scratch)
+    linked = components(similar, scratch)
+    for turn in range(LEADS + 1):
+        rooted = nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        now = scratch.table(members.select("key", "node").join(rooted, "node"), "members")
+        first = F.struct((F.lit(0).cast("long") if turn else -F.col("shares")).alias("shares"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")
+        groups = now.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(first).alias("lead"))
+        groups = groups.filter("low <> high").select("key", "n", F.col("lead.node").alias("lead"), F.col("lead.root").alias("lead_root"))
+        left = scratch.table(now.join(groups, "key"), "members")
+        scratch.drop(members, now)
+        members = left
+        large = F.col("n") > GROUP
+        if turn == LEADS or members.filter(large).isEmpty():
             break
-        first = large.select("root", F.col("first.node").alias("node")).join(members.select("node", F.col("shingles").alias("lead")), "node").select("root", F.col("node").alias("leader"), "lead")
-        first = materialize(first, "leaders")
-        judged = members.join(first, "root", "left").withColumn("like", F.coalesce(is_similar(F.col("shingles"), F.col("lead"), similarity), F.lit(False)))
-        judged = materialize(judged.select(*members.columns, "like", F.coalesce(F.col("node") == F.col("leader"), F.lit(False)).alias("led")), "judged")
-        out = judged.filter("like AND NOT led").select("node")
-        gone = out if gone is None else gone.unionAll(out)
-        members = judged.filter("NOT like AND NOT led").drop("like", "led")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
-        last = None
-        for batch in batches:
-            out = []
-            for root, node, values in zip(batch.column("root").to_pylist(), batch.column("node").to_pylist(), batch.column("shingles"), strict=True):
-                if root != last:
-                    kept, last = [], root
-                mine = values.values.to_numpy(zero_copy_only=False)
-                for other in kept:
-                    both = len(np.intersect1d(mine, other, assume_unique=True))
-                    if both >= similarity * (len(mine) + len(other) - both):
-                        out.append(node)
-                        break
-                else:
-                    kept.append(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["node"])
-
-    arrow_rows(members.sparkSession, 512)
-    rest = members.select("root", "low", "node", "shingles").repartition("root").sortWithinPartitions("root", "low", "node")
-    rest = rest.mapInArrow(run, "node long")
-    return rest if gone is None else rest.unionAll(gone)
+        pairs = members.filter(large & (F.col("root") != F.col("lead_root"))).select(F.col("node").alias("a"), F.col("lead").alias("b"))
+        more = scratch.table(similar.unionAll(verified(pairs, sets, similarity, scratch)), "similar")
+        scratch.drop(similar, linked)
+        similar, linked = more, components(more, scratch)
+    blocks = F.ceil(F.col("n") / GROUP).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
+    a, b = (dealt.select("key", "i", "j", *(F.col(c).alias(f"{c}_{x}") for c in ("own", "node", "root"))) for x in "ab")
+    once = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & ((F.col("own_a") != F.col("own_b")) | (F.col("i") == F.col("j")))
+    pairs = a.join(b, ["key", "i", "j"]).filter(once).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    similar = scratch.table(similar.unionAll(verified(pairs, sets, similarity, scratch)), "similar")
+    return components(similar, scratch)
+
+
+def in_the_middle(linked: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node) of one text of each class (node, root): of two the one with the least ``low``, else the one
+    whose fingerprint differs in the fewest bits from the majority of all of them, ties by ``low``."""
+    rows = linked.join(texts.select("node", "fp", "low"), "node")
+    ones = [F.sum(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{b}") for b in range(BITS)]
+    sums = rows.groupBy("root").agg(F.count("*").alias("n"), *ones)
+    centre = F.lit(0).cast("long")
+    for b in range(BITS):
+        centre = centre.bitwiseOR(F.when(F.col(f"b{b}") * 2 > F.col("n"), F.lit(bit_mask([b]))).otherwise(F.lit(0).cast("long")))
+    far = F.when(F.col("n") > 2, F.bit_count(F.col("fp").bitwiseXOR(F.col("centre")))).otherwise(F.lit(0))
+    first = rows.join(sums.select("root", "n", centre.alias("centre")), "root").groupBy("root").agg(F.min(F.struct(far.alias("far"), "low", "node")).alias("first"))
+    return first.select(F.col("first.node").alias("node"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of texts whose shingles of ``width`` words are similar, one stays.
-
-    Similarity is the shared part of two texts' distinct shingles in all of theirs. Every pair that
-    is similar meets in a component, and there texts are compared exactly. Of equal texts (in words,
-    but for case) the one with the smallest id stands for all (null last). Texts of a component are
-    taken from its middle outwards, so an original goes before its edited copies whatever its id;
-    no two texts that stay are similar, and each that goes is similar to one that stays. Texts
-    without words are equal to each other. Rows equal in id are told apart by where they stand in
-    the written table.
+    """The rows of ``docs`` without near-duplicates: of each class of texts one stays.
+
+    Texts are similar whose distinct shingles of ``width`` words share ``similarity`` of all that
+    the two have; a class holds all that are similar, directly or by way of others. Of equal texts
+    (in words, but for case) the one with the smallest id stands for all (null last). Of two texts
+    in a class that with the smaller id stays; of more the one in their middle, so an original
+    stays for its edited copies whatever its id. Null, empty and blank texts are equal to each
+    other. Rows equal in id are told apart by where they stand in the written table. An empty
+    table gives no row; all columns are returned as they are, whatever their names.
     """
     names = docs.columns
     out = [f"k{i}" for i in range(len(names))]
-    rows = materialize(with_prefixes(docs, text_col, names, out, width, similarity).withColumn("row", F.monotonically_increasing_id()), "signed")
+    rows = materialize(signed_texts(docs, text_col, names, out, width).withColumn("row", F.monotonically_increasing_id()), "signed")
     ident, body = F.col(out[names.index(id_col)]), F.col(out[names.index(text_col)])
     own = F.struct(ident.isNull().alias("no_id"), ident.alias("id"), "row")
-    lows = materialize(rows.groupBy("whole", "other").agg(F.min(own).alias("low")).select(F.col("low.row").alias("node"), "low"), "texts")
-    texts = rows.select(F.col("row").alias("node"), "size", "first").join(lows.select("node"), "node", "left_semi")
-    bodies = rows.select(F.col("row").alias("node"), body.cast("string").alias("body"))
-    linked = similar_classes(texts, bodies, width, similarity)
-    sets = shingle_sets(bodies.join(linked.select("node"), "node", "left_semi"), width)
-    members = materialize(linked.join(lows, "node").join(sets, "node").select("root", "low", "node", "shingles"), "members")
-    gone = materialize(repeats(from_the_middle(members), similarity), "repeats")
-    kept = lows.join(gone, "node", "left_anti").select(F.col("node").alias("row"))
+    with Scratch(docs.sparkSession) as scratch:
+        first = rows.groupBy("whole", "other").agg(F.min(F.struct(own.alias("low"), "fp")).alias("one"))
+        texts = scratch.table(first.select(F.col("one.low.row").alias("node"), F.col("one.low").alias("low"), F.col("one.fp").alias("fp")), "texts")
+        bodies = rows.select(F.col("row").alias("node"), body.cast("string").alias("body")).join(texts.select("node"), "node", "left_semi")
+        bodies = scratch.table(bodies, "bodies")
+        linked = similar_classes(texts.select("node", "fp"), bodies, width, similarity, scratch)
+        stay = in_the_middle(linked, texts)
+        gone = linked.select("node").join(stay, "node", "left_anti")
+        kept = materialize(texts.select(F.col("node").alias("row")).join(gone.withColumnRenamed("node", "row"), "row", "left_anti"), "kept")
     return rows.join(kept, "row", "left_semi").select(*(F.col(o).alias(n) for n, o in zip(names, out, strict=True)))

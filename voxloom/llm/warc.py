@@ -158,7 +158,7 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
                     cols = list(zip(*rows[at : at + 8192], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, FIELDS.values(), strict=True)], names=list(FIELDS))
 
-    arrow_rows(spark, 1)  # a file at a time
+    arrow_rows(spark)  # a file at a time
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return found.select("path", "content").mapInArrow(run, INDEX)
 
@@ -234,7 +234,7 @@ def merge_index(found: DataFrame, ranges: int | None = None) -> DataFrame:
 
     types = [*FIELDS.values(), pa.int32(), pa.int64()]
     batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[*FIELDS, "part", "place"])
-    arrow_rows(spark, 8192)
+    arrow_rows(spark)
     return dealt.withColumn("part", F.spark_partition_id()).mapInArrow(run, INDEX + ", part int, place long")
 
 
