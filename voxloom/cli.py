@@ -44,7 +44,7 @@ def build_parser() -> argparse.ArgumentParser:
 def segment(spark: SparkSession, args: argparse.Namespace) -> int:
     """Files that cannot be read are named on stderr; 1 if none could."""
     waves = audio.read_audio(spark, args.audio, args.samplerate).cache()
-    for row in waves.filter("NOT success").select("path", "error").limit(100).collect():
+    for row in waves.filter("NOT success").select("path", "error").toLocalIterator():
         print(f"{row['path']}: {row['error']}", file=sys.stderr)
     good = waves.filter("success")
     if good.isEmpty():

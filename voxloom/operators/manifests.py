@@ -144,10 +144,13 @@ def join_corpus(segments: DataFrame, files: DataFrame | None = None, embeddings:
     return out
 
 
-def lookup(embeddings: DataFrame, requests: list[tuple[int, int]], *, value: str = "embedding") -> DataFrame:
-    """Rows for (file_id, segment_id) requests, in their order (``ord``); a missing row raises when it is read."""
+def lookup(embeddings: DataFrame, requests: DataFrame | list[tuple[int, int]], *, value: str = "embedding") -> DataFrame:
+    """Rows for (file_id, segment_id) requests, in their order (``ord``); a missing row raises when it is read.
+
+    Requests are a DataFrame of ord, file_id and segment_id, or a short list of pairs.
+    """
     need(embeddings, "file_id", "segment_id", value)
-    asked = embeddings.sparkSession.createDataFrame([(k, int(f), int(s)) for k, (f, s) in enumerate(requests)], "ord long, file_id long, segment_id long")
+    asked = requests.select("ord", "file_id", "segment_id") if isinstance(requests, DataFrame) else embeddings.sparkSession.createDataFrame([(k, int(f), int(s)) for k, (f, s) in enumerate(requests)], "ord long, file_id long, segment_id long")
     found = asked.join(embeddings.select("file_id", "segment_id", F.col(value).alias("_v"), F.lit(True).alias("_hit")), ["file_id", "segment_id"], "left")
     missing = F.raise_error(F.concat(F.lit("no row for file "), F.col("file_id").cast("string"), F.lit(", segment "), F.col("segment_id").cast("string")))
     return found.select("ord", "file_id", "segment_id", F.when(F.col("_hit"), F.col("_v")).otherwise(missing).alias(value)).orderBy("ord")

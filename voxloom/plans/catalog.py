@@ -99,12 +99,12 @@ def label_manifest(v: Views) -> DataFrame:
 
 @query(
     "embedding_lookup",
-    """SELECT r.ord, f.file_id, f.frame AS segment_id, f.vec AS embedding FROM (SELECT unnest(range(40)) AS ord) r
-    JOIN frames f ON f.file_id = (r.ord * 7) % 10 AND f.frame = (r.ord * 11) % 50""",
+    """SELECT file_id * 50 + 49 - frame AS ord, file_id, frame AS segment_id, vec AS embedding FROM frames""",
 )
 def embedding_lookup(v: Views) -> DataFrame:
     rows = v.frames().select("file_id", F.col("frame").alias("segment_id"), F.col("vec").alias("embedding"))
-    return manifests.lookup(rows, [((k * 7) % 10, (k * 11) % 50) for k in range(40)])
+    asked = rows.select((F.col("file_id") * 50 + 49 - F.col("segment_id")).alias("ord"), "file_id", "segment_id")
+    return manifests.lookup(rows, asked)
 
 
 # ---- labels --------------------------------------------------------------------------------------
@@ -232,24 +232,24 @@ def eval_aggregate(v: Views) -> DataFrame:
     return rounded(rows, "TP", "Ins", "Del", "Sub", "TER", "Precision", "Recall", "F1")
 
 
-WORDS = """WITH w AS (SELECT doc_id, unnest(generate_series(1, len(ws)))::BIGINT AS interval_idx, unnest(ws) AS text FROM (SELECT doc_id, string_split(substr(text, 1, 400), ' ') AS ws FROM documents WHERE source IN ('src1', 'src2')))"""
+WORDS = """WITH w AS (SELECT doc_id, unnest(generate_series(1, len(ws)))::BIGINT AS interval_idx, unnest(ws) AS text FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents))"""
 
 
 def words(v: Views) -> DataFrame:
-    """The first words of some documents, standing in for the intervals of a tier."""
-    rows = v.table("documents").filter(F.col("source").isin("src1", "src2")).select("doc_id", F.posexplode(F.split(F.substring("text", 1, 400), " ", -1)).alias("p", "text"))
+    """The words of all documents, standing in for the intervals of a tier."""
+    rows = v.table("documents").select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("p", "text"))
     return rows.select("doc_id", (F.col("p") + 1).cast("long").alias("interval_idx"), "text")
 
 
 @query(
     "vowel_filter",
     WORDS
-    + f""", s AS (SELECT doc_id, interval_idx, substr(text, 1, 2) AS text FROM w)
-SELECT * FROM s WHERE text IN {evaluation.VOWELS} OR upper(text) IN {evaluation.VOWELS} OR lower(text) IN {evaluation.VOWELS} OR regexp_replace(upper(text), '[^a-zA-Z]', '', 'g') IN {evaluation.VOWELS}""",
+    + f""", s AS (SELECT *, upper(replace(text, 'ß', 'SS')) AS up FROM w)
+SELECT doc_id, interval_idx, text FROM s WHERE text IN {evaluation.VOWELS} OR up IN {evaluation.VOWELS} OR lower(text) IN {evaluation.VOWELS} OR regexp_replace(up, '[^a-zA-Z]', '', 'g') IN {evaluation.VOWELS}""",
     views=False,
 )
 def vowel_filter(v: Views) -> DataFrame:
-    return evaluation.vocalic_intervals(words(v).withColumn("text", F.substring("text", 1, 2)))
+    return evaluation.vocalic_intervals(words(v))
 
 
 @query(
@@ -308,7 +308,7 @@ SPANS = """WITH sp AS (SELECT file_id, k AS segment_id, k * 0.117::DOUBLE AS sta
 b AS (SELECT sp.*, n, least(greatest({0}(start * 50)::INT, 0), n - 1) AS a, least({0}("end" * 50)::INT, n) AS z FROM sp JOIN (SELECT file_id, max(frame) + 1 AS n FROM frames GROUP BY 1) c ON c.file_id = sp.file_id),
 x AS (SELECT b.file_id, segment_id, unnest(generate_series(1, len(vec))) AS dim, unnest(vec) AS x FROM b JOIN frames f ON f.file_id = b.file_id AND frame >= a AND frame < greatest(z, a + 1)),
 g AS (SELECT file_id, segment_id, dim, {1}(x) AS x FROM x GROUP BY ALL)
-SELECT file_id, segment_id, list(round(x, 6) ORDER BY dim) AS embedding FROM g GROUP BY file_id, segment_id"""
+SELECT file_id, segment_id, list(round(x, 6) + 0.0::DOUBLE ORDER BY dim) AS embedding FROM g GROUP BY file_id, segment_id"""
 
 
 def spans(v: Views) -> DataFrame:
@@ -320,7 +320,7 @@ def spans(v: Views) -> DataFrame:
 
 def pooled(v: Views, method: str, **options: str) -> DataFrame:
     rows = pooling.get_pooler(method)(v.frames(), spans(v), 50.0, **options)
-    return rows.withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 6)))
+    return rows.withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 6) + F.lit(0.0)))  # no -0.0
 
 
 for _name, _method, _agg, _bounds in (("pool_mean", "mean", "avg", "trunc"), ("pool_max", "max", "max", "trunc"), ("pool_median", "median", "median", "trunc"), ("pool_mean_rounded", "mean", "avg", "round")):
@@ -335,7 +335,7 @@ for _name, _method, _agg, _bounds in (("pool_mean", "mean", "avg", "trunc"), ("p
     SPANS.split("b AS")[0]
     + """o AS (SELECT sp.*, n, unnest([0, 1, 2]) AS part, unnest([start + 0.3::DOUBLE * (peak - start), peak, peak + 0.7::DOUBLE * ("end" - peak)]) AS t FROM sp JOIN (SELECT file_id, max(frame) + 1 AS n FROM frames GROUP BY 1) c ON c.file_id = sp.file_id),
 p AS (SELECT o.file_id, segment_id, part, vec FROM o JOIN frames f ON f.file_id = o.file_id AND f.frame = least(greatest(round_even(t * 50, 0)::INT, 0), n - 1))
-SELECT file_id, segment_id, list_transform(flatten(list(vec ORDER BY part)), lambda x: round(x, 6)) AS embedding FROM p GROUP BY file_id, segment_id""",
+SELECT file_id, segment_id, list_transform(flatten(list(vec ORDER BY part)), lambda x: round(x, 6) + 0.0::DOUBLE) AS embedding FROM p GROUP BY file_id, segment_id""",
 )
 def pool_onc(v: Views) -> DataFrame:
     return pooled(v, "onc")
