@@ -13,6 +13,7 @@ A large group is dealt out as pairs of blocks, none of which is more than one ta
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations, repeat
 
 import numpy as np
@@ -296,25 +297,25 @@ RATIO = 1.5
 MISS = 1e-9
 
 
-def part_counts(similarity: float, classes: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@lru_cache(maxsize=8)
+def part_counts(similarity: float, largest: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each class: its least size, how many parts shingles are dealt to, and the least size of the class below that meets it.
 
     Similar sets a and b differ in at most (a + b) (1 - s) / (1 + s) elements, d for the largest
     of a class. With d + 1 parts one at least has no difference. With fewer parts m, each is
     without one with probability (1 - 1 / m) ** d, and the least m that misses all with no more
-    than MISS is taken.
+    than MISS is taken. No text has ``largest`` shingles.
     """
-    first = np.unique(np.ceil(RATIO ** np.arange(classes)).astype(np.int64))
-    last = np.append(first[1:] - 1, 1 << 62)[: len(first)]
-    differ = np.floor(2 * last * ((1 - similarity) / (1 + similarity)) + 1e-6)
-    parts = differ + 1
-    for c, d in enumerate(differ):
-        low, high = 1.0, d + 1
+    first = np.unique(np.ceil(RATIO ** np.arange(1 + int(np.log(largest) / np.log(RATIO)))).astype(np.int64))
+    last = np.append(first[1:] - 1, largest)
+    parts = []
+    for d in np.floor(2 * last * ((1 - similarity) / (1 + similarity)) + 1e-6).astype(np.int64).tolist():
+        low, high = 1, d + 1
         while high - low > 1 and d > 30:
-            m = np.floor((low + high) / 2)
+            m = (low + high) // 2
             low, high = (low, m) if m * np.log1p(-np.exp(d * np.log1p(-1 / m))) <= np.log(MISS) else (m, high)
-        parts[c] = high if d > 30 else d + 1
-    return first, parts.astype(np.uint64), np.ceil(first * similarity - 1e-6).astype(np.int64)
+        parts.append(high)
+    return first, np.array(parts, np.uint64), np.ceil(first * similarity - 1e-6).astype(np.int64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -441,20 +442,19 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scra
     return out
 
 
-def similar_classes(texts: DataFrame, bodies: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """(node, root) for every text (node, fp; node, body) that is similar to another one, or by way of others.
+def similar_classes(members: DataFrame, sets: DataFrame, seeds: DataFrame | None, similarity: float, scratch: Scratch) -> DataFrame:
+    """(node, root) for every text that is similar to another one, or by way of others.
 
-    Candidates are, first, the fingerprints' links; then, under each shingle key, of texts that are
-    not yet in one class: all pairs, or in groups of more than GROUP texts those with one of them
-    (first the one that shares most keys), for up to LEADS rounds. What these rounds have linked
-    need not be compared again. What of a large group is in different classes after that meets in
-    pairs of blocks.
+    ``members`` has the shingle keys (key, node) that meet, ``sets`` the shingles (node, shingles) of
+    their texts, ``seeds`` pairs (a, b) known to be similar. Under each key, of texts that are not yet
+    in one class, all pairs are compared, or in groups of more than GROUP texts those with one of
+    them (first the one that shares most keys), for up to LEADS rounds. What these rounds have
+    linked need not be compared again. What of a large group is in different classes after that, or
+    after a round that linked nothing, meets in pairs of blocks.
     """
-    members = scratch.table(shared_keys(bodies, width, similarity), "members")
     nodes = scratch.table(members.groupBy("node").agg(F.count("*").alias("shares")), "nodes")
-    sets = scratch.table(shingle_sets(bodies.join(nodes, "node", "left_semi"), width), "sets")
-    n, both = bit_counts(texts)
-    similar = verified(links(texts, plan(n, both, NEAR_BITS), NEAR_BITS, scratch), sets, similarity, scratch)
+    none = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    similar = scratch.table(none if seeds is None else seeds, "similar")
     linked = components(similar, scratch)
     for turn in range(LEADS + 1):
         rooted = nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -463,14 +463,17 @@ def similar_classes(texts: DataFrame, bodies: DataFrame, width: int, similarity:
         groups = now.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(first).alias("lead"))
         groups = groups.filter("low <> high").select("key", "n", F.col("lead.node").alias("lead"), F.col("lead.root").alias("lead_root"))
         left = scratch.table(now.join(groups, "key"), "members")
-        scratch.drop(members, now)
+        scratch.drop(now, *([members] if turn else []))
         members = left
         large = F.col("n") > GROUP
         if turn == LEADS or members.filter(large).isEmpty():
             break
         pairs = members.filter(large & (F.col("root") != F.col("lead_root"))).select(F.col("node").alias("a"), F.col("lead").alias("b"))
-        more = scratch.table(similar.unionAll(verified(pairs, sets, similarity, scratch)), "similar")
-        scratch.drop(similar, linked)
+        found = verified(pairs, sets, similarity, scratch)
+        if found.isEmpty():
+            break
+        more = scratch.table(similar.unionAll(found), "similar")
+        scratch.drop(similar, linked, found)
         similar, linked = more, components(more, scratch)
     blocks = F.ceil(F.col("n") / GROUP).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
@@ -480,21 +483,86 @@ def similar_classes(texts: DataFrame, bodies: DataFrame, width: int, similarity:
     once = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & ((F.col("own_a") != F.col("own_b")) | (F.col("i") == F.col("j")))
     pairs = a.join(b, ["key", "i", "j"]).filter(once).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     similar = scratch.table(similar.unionAll(verified(pairs, sets, similarity, scratch)), "similar")
-    return components(similar, scratch)
+    out = components(similar, scratch)
+    scratch.drop(nodes, similar, members, linked)
+    return out
 
 
 def in_the_middle(linked: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node) of one text of each class (node, root): of two the one with the least ``low``, else the one
-    whose fingerprint differs in the fewest bits from the majority of all of them, ties by ``low``."""
+    """(root, lead): of each class (node, root) the text whose fingerprint differs in the fewest bits from the majority
+    of all of them, ties by ``low``."""
     rows = linked.join(texts.select("node", "fp", "low"), "node")
     ones = [F.sum(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{b}") for b in range(BITS)]
     sums = rows.groupBy("root").agg(F.count("*").alias("n"), *ones)
     centre = F.lit(0).cast("long")
     for b in range(BITS):
         centre = centre.bitwiseOR(F.when(F.col(f"b{b}") * 2 > F.col("n"), F.lit(bit_mask([b]))).otherwise(F.lit(0).cast("long")))
-    far = F.when(F.col("n") > 2, F.bit_count(F.col("fp").bitwiseXOR(F.col("centre")))).otherwise(F.lit(0))
-    first = rows.join(sums.select("root", "n", centre.alias("centre")), "root").groupBy("root").agg(F.min(F.struct(far.alias("far"), "low", "node")).alias("first"))
-    return first.select(F.col("first.node").alias("node"))
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("centre")))
+    first = rows.join(sums.select("root", centre.alias("centre")), "root").groupBy("root").agg(F.min(F.struct(far.alias("far"), "low", "node")).alias("first"))
+    return first.select("root", F.col("first.node").alias("lead"))
+
+
+def is_alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Sorted distinct shingles of two texts."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-6:
+        return False
+    at = np.minimum(np.searchsorted(b, a), max(len(b) - 1, 0))
+    both = int((b[at] == a).sum()) if len(b) else 0
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def apart(classes: DataFrame, texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node) of texts of each class (node, root) no two of which are similar, while all others are similar to one of them.
+
+    They are taken in order from the middle of a class (of two texts the one with the smaller
+    ``low``). A class is held in one task and has GROUP texts at most.
+    """
+    rows = classes.join(texts.select("node", "fp", "low.*"), "node").join(sets, "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        fps = table.column("fp").to_numpy().view(np.uint64)
+        ones = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        centre = np.packbits(2 * ones > len(fps), bitorder="little").view("<u8")[0]
+        far = np.bitwise_count(fps ^ centre).tolist()
+        low = list(zip(*(table.column(c).to_pylist() for c in ("no_id", "id", "row")), strict=True))
+        shingles = [np.sort(x.values.to_numpy(zero_copy_only=False)) for x in table.column("shingles")]
+        kept: list[int] = []
+        for k in sorted(range(len(fps)), key=lambda k: (far[k], low[k])):
+            if not any(is_alike(shingles[k], shingles[j], similarity) for j in kept):
+                kept.append(k)
+        return pa.table({"node": table.column("node").take(pa.array(kept))})
+
+    two = rows.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("no_id", "id", "row", "node"))["node"].alias("node"))
+    more = rows.join(two.filter("n > 2").select("root"), "root", "left_semi").groupBy("root").applyInArrow(run, "node long")
+    return two.filter("n <= 2").select("node").unionAll(more)
+
+
+def staying(linked: DataFrame, texts: DataFrame, members: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(node) of the texts of all classes (node, root) that stay: no two are similar, and all others are similar to one.
+
+    A class of more than GROUP texts is first compared with the text in its middle, and what is not
+    similar to that is parted into classes again; so a class falls apart around its middle.
+    """
+    stay: DataFrame | None = None
+    while True:
+        counts = linked.groupBy("root").agg(F.count("*").alias("n"))
+        sized = scratch.table(linked.join(counts, "root"), "sized")
+        small = scratch.table(apart(sized.filter(F.col("n") <= GROUP).drop("n"), texts, sets, similarity), "small")
+        stay = small if stay is None else scratch.table(stay.unionAll(small), "stay")
+        large = sized.filter(F.col("n") > GROUP).drop("n")
+        if large.isEmpty():
+            return stay
+        leads = scratch.table(in_the_middle(large, texts), "leads")
+        stay = scratch.table(stay.unionAll(leads.select(F.col("lead").alias("node"))), "stay")
+        pairs = large.join(leads, "root").filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+        near = verified(pairs, sets, similarity, scratch)
+        met = near.select(F.col("a").alias("node")).unionAll(near.select(F.col("b").alias("node"))).unionAll(leads.select(F.col("lead").alias("node")))
+        rest = scratch.table(large.select("node").join(met.distinct(), "node", "left_anti"), "rest")
+        still = scratch.table(members.select("key", "node").join(rest, "node", "left_semi"), "members")
+        scratch.drop(sized, leads, near)
+        linked = similar_classes(still, sets, None, similarity, scratch)
+        alone = rest.join(linked, "node", "left_anti").select("node")
+        stay = scratch.table(stay.unionAll(alone), "stay")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -504,9 +572,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the two have; a class holds all that are similar, directly or by way of others. Of equal texts
     (in words, but for case) the one with the smallest id stands for all (null last). Of two texts
     in a class that with the smaller id stays; of more the one in their middle, so an original
-    stays for its edited copies whatever its id. Null, empty and blank texts are equal to each
-    other. Rows equal in id are told apart by where they stand in the written table. An empty
-    table gives no row; all columns are returned as they are, whatever their names.
+    stays for its edited copies whatever its id, and of those that are not similar to it again one
+    a class, until every text that goes is similar to one that stays. Null, empty and blank texts
+    are equal to each other. Rows equal in id are told apart by where they stand in the written
+    table. An empty table gives no row; all columns are returned as they are, whatever their names.
     """
     names = docs.columns
     out = [f"k{i}" for i in range(len(names))]
@@ -518,8 +587,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         texts = scratch.table(first.select(F.col("one.low.row").alias("node"), F.col("one.low").alias("low"), F.col("one.fp").alias("fp")), "texts")
         bodies = rows.select(F.col("row").alias("node"), body.cast("string").alias("body")).join(texts.select("node"), "node", "left_semi")
         bodies = scratch.table(bodies, "bodies")
-        linked = similar_classes(texts.select("node", "fp"), bodies, width, similarity, scratch)
-        stay = in_the_middle(linked, texts)
+        members = scratch.table(shared_keys(bodies, width, similarity), "keys")
+        sets = scratch.table(shingle_sets(bodies.join(members.select("node").distinct(), "node", "left_semi"), width), "sets")
+        fps = texts.select("node", "fp")
+        n, both = bit_counts(fps)
+        seeds = verified(links(fps, plan(n, both, NEAR_BITS), NEAR_BITS, scratch), sets, similarity, scratch)
+        linked = similar_classes(members, sets, seeds, similarity, scratch)
+        stay = staying(linked, texts, members, sets, similarity, scratch)
         gone = linked.select("node").join(stay, "node", "left_anti")
         kept = materialize(texts.select(F.col("node").alias("row")).join(gone.withColumnRenamed("node", "row"), "row", "left_anti"), "kept")
     return rows.join(kept, "row", "left_semi").select(*(F.col(o).alias(n) for n, o in zip(names, out, strict=True)))
