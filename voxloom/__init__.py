@@ -14,6 +14,9 @@ _WHERE = {
     "embed_corpus": "api.embed_corpus",
     "embed_corpus_to_storage": "api.embed_corpus_to_storage",
     "discover_corpus": "api.discover_corpus",
+    "segment_and_embed_audio": "api.segment_and_embed",
+    "segment_embed_and_discover": "api.segment_embed_and_discover",
+    "EmbeddingPipeline": "api.EmbeddingPipeline",
     "get_amplitude_envelope": "operators.segmentation.envelope_of",
     "list_segmenters": "operators.segmentation.list_segmenters",
     "list_segmenter_aliases": "operators.segmentation.list_segmenter_aliases",

@@ -11,15 +11,26 @@ from pyspark.sql import functions as F
 from voxloom.functions.expressions import pairing_key, stem
 from voxloom.operators import discovery, evaluation, pooling, segmentation
 from voxloom.operators.manifests import join_corpus
-from voxloom.presets import resolve_preset
+from voxloom.presets import resolve_preset, segmenter_preset
 from voxloom.sources import annotations, audio, stores
 
 
-def segment_audio(waves: DataFrame, method: str = "peakdetect", *, envelope: str = "sbs", features: str | None = None, rate: float = 50.0, envelope_kwargs: dict[str, Any] | None = None, feature_kwargs: dict[str, Any] | None = None, fail: bool = True, **options: Any) -> DataFrame:
-    """Segments of waveforms: by peaks of an envelope, or by a frame segmenter on extracted features."""
+def segment_audio(waves: DataFrame, method: str = "peakdetect", *, envelope: str = "sbs", features: str | None = None, rate: float = 50.0, envelope_kwargs: dict[str, Any] | None = None, feature_kwargs: dict[str, Any] | None = None, fail: bool = True, preset: str | None = None, **options: Any) -> DataFrame:
+    """Segments of waveforms: by peaks of an envelope, by a frame segmenter on extracted features, or by attention.
+
+    A segmenter preset names method, envelope or features, and their options; options given beside it go first.
+    """
+    if preset is not None:
+        fixed = segmenter_preset(preset)
+        method, envelope, features = fixed["method"], fixed.get("envelope", envelope), fixed.get("features", features)
+        envelope_kwargs = {**fixed.get("envelope_kwargs", {}), **(envelope_kwargs or {})}
+        options = {**fixed["kwargs"], **options}
     if segmentation.segmenter_name(method) == "peakdetect":
         signal = segmentation.envelope_of(waves, envelope, fail=fail, **(envelope_kwargs or {}))
         return segmentation.segment_signal(signal, fail=fail, **options)
+    if segmentation.segmenter_name(method) == "cls_attention":
+        weights = segmentation.attention_of(waves, features or "vghubert", fail=fail, **(feature_kwargs or {}))
+        return segmentation.segment_frames(weights, method, rate, fail=fail, **options)
     frames = segmentation.features_of(waves, features or "mfcc", fail=fail, **(feature_kwargs or {}))
     return segmentation.segment_frames(frames, method, rate, fail=fail, **options)
 
@@ -37,6 +48,8 @@ def _embedded(waves: DataFrame, preset: str | None, segmentation_method: str | N
     options = dict(recipe["segmentation_kwargs"])
     if recipe["segmentation"] == "peakdetect":
         segments = segment_audio(waves, envelope=options.pop("envelope"), fail=fail, **options)
+    elif segmentation.segmenter_name(recipe["segmentation"]) == "cls_attention":
+        segments = segment_audio(waves, "cls_attention", features=recipe["features"], rate=rate, feature_kwargs=recipe["feature_kwargs"], fail=fail, **options)
     else:
         segments = segmentation.segment_frames(frames, recipe["segmentation"], rate, fail=fail, **options)
     segments = segments.persist(StorageLevel.MEMORY_AND_DISK)
@@ -62,6 +75,34 @@ def embed_corpus_to_storage(waves: DataFrame, path: str, *, preset: str | None =
     return stores.load_embedding_manifest(spark, f"{path}/manifest")
 
 
+class EmbeddingPipeline:
+    """One recipe of segmentation, features and pooling, kept for several corpora."""
+
+    def __init__(self, **recipe: Any):
+        self.recipe = recipe
+        names = {"segmentation": "segmentation_method", "pooling": "pooling_method"}
+        self.options = {names.get(k, k): v for k, v in recipe.items()}
+
+    def embed_corpus(self, waves: DataFrame, *, fail: bool = False) -> tuple[DataFrame, DataFrame]:
+        return embed_corpus(waves, fail=fail, **self.options)
+
+    embed_audio = embed_corpus
+
+    def embed_corpus_to_storage(self, waves: DataFrame, path: str, *, buckets: int = 64) -> DataFrame:
+        return embed_corpus_to_storage(waves, path, buckets=buckets, **self.options)
+
+
+def segment_and_embed(waves: DataFrame, *, segmentation_method: str = "peakdetect", features: str = "mfcc", pooling_method: str = "mean", **embed: Any) -> tuple[DataFrame, DataFrame]:
+    """(segments, embeddings); peaks need an envelope among the options of the segmentation."""
+    return embed_corpus(waves, segmentation_method=segmentation_method, features=features, pooling_method=pooling_method, **embed)
+
+
+def segment_embed_and_discover(waves: DataFrame, *, discovery_method: str = "kmeans", discovery_kwargs: dict[str, Any] | None = None, **embed: Any) -> tuple[DataFrame, DataFrame, discovery.DiscoveryResult]:
+    """(segments, embeddings, clusters of the embeddings) of waveforms."""
+    segments, embeddings = segment_and_embed(waves, **embed)
+    return segments, embeddings, discovery.DiscoveryPipeline(discovery_method, **(discovery_kwargs or {})).discover(embeddings)
+
+
 def discover_corpus(waves: DataFrame, *, discovery_method: str = "kmeans", discovery_kwargs: dict[str, Any] | None = None, output_dir: str | None = None, **embed: Any) -> tuple[DataFrame, discovery.DiscoveryPipeline]:
     """Segments of all files with their cluster, and the fitted pipeline; both are also written below ``output_dir``."""
     if output_dir is None:

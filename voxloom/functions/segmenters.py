@@ -394,6 +394,51 @@ def greedy_nuclei(x: np.ndarray, rate: float, norm_threshold: float = 2.6, merge
     return out
 
 
+def spans_with_means(spans: list[Triple], x: np.ndarray, rate: float) -> list[tuple[Triple, np.ndarray]]:
+    """Each segment with the mean of its frames; a segment of no frame takes the one at its start."""
+    x, out = np.asarray(x, float), []
+    for a, p, b in spans:
+        first = min(max(int(round(a * rate)), 0), max(len(x) - 1, 0))
+        out.append(((a, p, b), x[first : max(first + 1, int(round(b * rate)))].mean(axis=0)))
+    return out
+
+
+# ---- attention -----------------------------------------------------------------------------------
+
+
+def frame_attention(raw: np.ndarray, has_cls_token: bool = True) -> np.ndarray:
+    """Heads x tokens x tokens -> frames x heads: what the first token pays each frame; without such a token what
+    each frame gets from all others."""
+    raw = np.asarray(raw, float)
+    if raw.ndim != 3 or raw.shape[1] != raw.shape[2]:
+        raise ValueError("attention must be heads x tokens x tokens")
+    if has_cls_token:
+        return raw[:, 0, 1:].T
+    return (raw.sum(axis=1) - np.diagonal(raw, axis1=1, axis2=2)).T
+
+
+def attention_nuclei(w: np.ndarray, rate: float, quantile: float = 0.9, merge_valley_tol: float = 0.0) -> list[Triple]:
+    """Segments where any head's weight (frames x heads) reaches that head's quantile.
+
+    Runs of one frame are left out unless all are such; the nucleus is the frame with the greatest
+    sum over heads, the first on ties, and a segment ends at its last frame.
+    """
+    w = np.asarray(w, float)
+    if not len(w):
+        return []
+    on = (w >= np.quantile(w, quantile, axis=0)).any(axis=1)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(np.int8), [0]])))
+    runs = edges.reshape(-1, 2)
+    total = w.sum(axis=1)
+    if not len(runs):  # not-a-number weights reach no quantile
+        return [(0.0, int(total.argmax()) / rate, (len(w) - 1) / rate)]
+    apart = np.append(True, runs[1:, 0] - runs[:-1, 1] > int(merge_valley_tol * rate + 1e-9)) if merge_valley_tol > 0 else np.ones(len(runs), bool)
+    first = np.flatnonzero(apart)
+    runs = np.stack([runs[first, 0], runs[np.append(first[1:], len(runs)) - 1, 1]], axis=1)
+    long = runs[runs[:, 1] - runs[:, 0] > 1]
+    return [(a / rate, (a + int(total[a:b].argmax())) / rate, (b - 1) / rate) for a, b in (long if len(long) else runs).tolist()]
+
+
 # ---- assignment ----------------------------------------------------------------------------------
 
 

@@ -213,11 +213,30 @@ class DiscoveryPipeline:
     def predict_storage(self, spark: SparkSession, path: str) -> DataFrame:
         return self.predict(spark.read.parquet(path))
 
-    def discover(self, rows: DataFrame, *, metrics: bool = True) -> DiscoveryResult:
-        labels = self.fit(rows).predict(rows)
+    def predict_batches(self, batches: Any) -> DataFrame:
+        """Labels of DataFrames that come one after another, as one DataFrame; empty ones add no row."""
+        out: DataFrame | None = None
+        for rows in batches:
+            labels = self.predict(rows)
+            out = labels if out is None else out.unionByName(labels)
+        if out is None:
+            raise ValueError("no data")
+        return out
+
+    def discover_storage(self, spark: SparkSession, path: str, *, metrics: bool = True) -> DiscoveryResult:
+        """Fit and label the vectors stored at ``path``; by steps over them where the model can."""
+        rows = spark.read.parquet(path)
+        if not getattr(self.model, "streams", False):
+            return self.fit(rows)._result(self.predict(rows), metrics, path=path)
+        return self.fit_batches([rows])._result(self.predict(rows), metrics, path=path)
+
+    def discover(self, rows: DataFrame, *, metrics: bool = True, exact_silhouette: bool = False) -> DiscoveryResult:
+        return self._result(self.fit(rows).predict(rows), metrics, exact_silhouette=exact_silhouette)
+
+    def _result(self, labels: DataFrame, metrics: bool, *, exact_silhouette: bool = False, **about: Any) -> DiscoveryResult:
         scored = labels.select(F.xxhash64("file_id", "segment_id").alias("id"), F.col("embedding").alias("vec"), F.col("cluster_label").alias("label"))
         n = labels.select("cluster_label").distinct().count()
-        return DiscoveryResult(labels, n, self.method, clusterquality.intrinsic_metrics(scored, exact_silhouette=False) if metrics else None, dict(self.options))
+        return DiscoveryResult(labels, n, self.method, clusterquality.intrinsic_metrics(scored, exact_silhouette=exact_silhouette) if metrics else None, {**self.options, **about})
 
     def save(self, path: str, *, metadata: dict[str, Any] | None = None, overwrite: bool = False) -> None:
         """The model below ``path``, and what describes it as JSON; refuses a path that holds one unless told to overwrite."""

@@ -137,7 +137,7 @@ def runs(flags: DataFrame, flag: str = "important", gap: int = 0) -> DataFrame:
 def attention_segments(attention: DataFrame, rate: float, quantile: float = 0.9, merge_valley_tol: float = 0.0) -> DataFrame:
     """Segments where any head is important: start, peak (greatest sum of heads, the first on ties) and end in seconds.
 
-    Single-frame runs are dropped unless all are; a file without runs is one segment from end to end.
+    A segment ends at its last frame. Single-frame runs are dropped unless all are; a file without runs is one segment from end to end.
     """
     union = importance_union(attention, quantile)
     found = runs(union, gap=int(merge_valley_tol * rate + 1e-9))
@@ -149,7 +149,7 @@ def attention_segments(attention: DataFrame, rate: float, quantile: float = 0.9,
     inside = (F.col("file_id") == F.col("_f")) & (F.col("frame") >= F.col("first")) & (F.col("frame") < F.col("last"))
     peak = F.max(F.struct("_s", (-F.col("frame")).alias("k")))["k"]
     rows = found.join(sums, inside).groupBy("file_id", "first", "last", "_n").agg((-peak).alias("peak"))
-    return rows.select("file_id", (F.col("first") / rate).alias("start"), (F.col("peak") / rate).alias("peak"), (F.least("last", F.col("_n") - 1) / rate).alias("end"))
+    return rows.select("file_id", (F.col("first") / rate).alias("start"), (F.col("peak") / rate).alias("peak"), ((F.col("last") - 1) / rate).alias("end"))
 
 
 # ---- peaks and valleys ---------------------------------------------------------------------------

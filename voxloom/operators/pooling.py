@@ -71,12 +71,19 @@ def pool_onset_nucleus_coda(frames: DataFrame, segments: DataFrame, fps: float,
 
 
 def pool_segments(frames: DataFrame, segments: DataFrame, method: str = "mean", *, sr: int | None = None, hop_length: int | None = None, fps: float | None = None) -> DataFrame:
-    """Pool by method name; the frame rate is given, or the ratio of sample rate and hop."""
-    if fps is None:
-        if not sr or not hop_length:
-            raise ValueError("give fps, or sr and hop_length")
+    """Pool by method name; the frame rate is given, or the ratio of sample rate and hop, or else estimated by file.
+
+    The estimate takes a file's last segment to end with its last frame; where none ends after 0 it is 50.
+    """
+    if fps is None and sr and hop_length:
         fps = sr / hop_length
-    return get_pooler(method)(frames, segments, fps)
+    if fps is not None:
+        return get_pooler(method)(frames, segments, fps)
+    ends = segments.groupBy(F.col("file_id").alias("_g")).agg(F.max("end").alias("_end")).join(frame_counts(frames), F.col("_g") == F.col("_f"))
+    rates = ends.select("_g", F.when(F.col("_end") > 0, F.col("_n") / F.col("_end")).otherwise(50.0).alias("_rate"))
+    spans = segments.join(rates, F.col("file_id") == F.col("_g")).drop("_g")
+    in_frames = spans.withColumns({c: F.col(c) * F.col("_rate") for c in ("start", "peak", "end") if c in spans.columns}).drop("_rate")
+    return get_pooler(method)(frames, in_frames, 1.0)
 
 
 def valid_segments(segments: DataFrame, pooling: str = "mean") -> DataFrame:

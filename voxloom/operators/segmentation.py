@@ -34,6 +34,8 @@ _ALIASES = {"cls": "cls_attention", "greedycosine": "greedy_cosine", "min_cut":
 _SEGMENTERS: dict[str, Kernel] = {}
 _FEATURES: dict[str, Callable[..., np.ndarray]] = {}
 _FRAME_ENVELOPES: dict[str, Callable[..., np.ndarray]] = {}
+#: Features whose model gives attention: its kernel, and whether a first token stands before the frames.
+_ATTENTION: dict[str, tuple[Callable[..., np.ndarray], bool]] = {}
 #: Features that need a trained model, which a caller has to bring.
 NEURAL = ("hubert", "sylber", "vghubert")
 
@@ -51,7 +53,7 @@ def register_segmenter(name: str, kernel: Kernel) -> None:
 
 
 def list_segmenters() -> list[str]:
-    return sorted([*_SEGMENTERS, "cls_attention"])
+    return sorted(_SEGMENTERS)
 
 
 def list_segmenter_aliases() -> dict[str, str]:
@@ -84,9 +86,39 @@ def cache_info() -> dict[str, int]:
     return {"size": info.currsize, "hits": info.hits, "misses": info.misses}
 
 
-def register_features(name: str, kernel: Callable[..., np.ndarray]) -> None:
-    """``kernel(samples, sr, **options)`` gives frames x dimensions."""
-    _FEATURES[feature_name(name)] = kernel
+def register_features(name: str, kernel: Callable[..., np.ndarray], attention: Callable[..., np.ndarray] | None = None, *, has_cls_token: bool = True) -> None:
+    """``kernel(samples, sr, **options)`` gives frames x dimensions.
+
+    ``attention(samples, sr, **options)`` gives the model's raw weights, heads x tokens x tokens, where
+    it has any; ``has_cls_token`` says that a token of its own stands before the frames.
+    """
+    short = feature_name(name)
+    _FEATURES[short] = kernel
+    if attention is None:
+        _ATTENTION.pop(short, None)
+    else:
+        _ATTENTION[short] = attention, has_cls_token
+
+
+def release_features(name: str) -> None:
+    """Forget a registered extractor and the model that it holds."""
+    _FEATURES.pop(feature_name(name), None)
+    _ATTENTION.pop(feature_name(name), None)
+
+
+def supports_attention(name: str) -> bool:
+    return feature_name(name) in _ATTENTION
+
+
+def get_attention(name: str) -> Callable[..., np.ndarray]:
+    """``kernel(samples, sr, **options)`` that gives frames x heads."""
+    short = feature_name(name)
+    if short not in _ATTENTION:
+        if short in NEURAL and short not in _FEATURES:
+            raise RuntimeError(f"{short} needs a model: register one with register_features({short!r}, kernel, attention)")
+        raise RuntimeError(f"{name} gives no attention: register it with register_features(name, kernel, attention)")
+    kernel, has_cls_token = _ATTENTION[short]
+    return lambda x, sr, **o: segmenters.frame_attention(kernel(x, sr, **o), has_cls_token)
 
 
 def feature_name(name: str) -> str:
@@ -110,7 +142,7 @@ def list_features() -> list[str]:
 
 
 def list_envelopes() -> list[str]:
-    return sorted([*envelopes.KERNELS, *_FRAME_ENVELOPES, "cls_attention"])
+    return sorted([*envelopes.KERNELS, *_FRAME_ENVELOPES])
 
 
 # ---- the kernels by name -------------------------------------------------------------------------
@@ -146,9 +178,21 @@ def mincut_envelope(x: np.ndarray, invert: bool = False, normalize: bool = True,
     return 1 - v if invert else v
 
 
+def attention_envelope(w: np.ndarray, quantile: float = 0.5, method: str = "max", normalize: bool = True) -> np.ndarray:
+    """Importance over time of frames x heads: max, sum (union_strength) or mean (mean_important) of the weights that reach their head's quantile."""
+    on = w >= np.quantile(w, quantile, axis=0)
+    held, count = np.where(on, w, 0.0), on.sum(axis=1)
+    made = {"max": lambda: np.where(on, w, -np.inf).max(axis=1), "union_strength": lambda: held.sum(axis=1), "mean_important": lambda: held.sum(axis=1) / np.maximum(count, 1)}
+    if method not in made:
+        raise ValueError(f"unknown method: {method}")
+    v = np.where(count > 0, made[method](), 0.0)
+    return dsp.min_max(v) if normalize else v
+
+
 _FEATURES |= {"mfcc": dsp.mfcc, "melspectrogram": dsp.mel_spectrogram}
-_FRAME_ENVELOPES |= {"feature_coherence": ssm_envelope, "greedy_cosine": greedy_envelope, "mincut": mincut_envelope}
+_FRAME_ENVELOPES |= {"cls_attention": attention_envelope, "feature_coherence": ssm_envelope, "greedy_cosine": greedy_envelope, "mincut": mincut_envelope}
 _SEGMENTERS |= {
+    "cls_attention": lambda w, rate, **o: segmenters.attention_nuclei(w, rate, **o),
     "greedy_cosine": lambda x, rate, **o: segmenters.greedy_nuclei(x, rate, **o),
     "mincut": lambda x, rate, **o: segmenters.mincut_segments(x, rate, **o),
     "peakdetect": lambda v, rate, **o: segmenters.peak_segments(v, np.arange(len(v)) / rate, **o),
@@ -200,6 +244,19 @@ def segment_frames(frames: DataFrame, method: str = "greedy_cosine", rate: float
     return explode_segments(apply_kernel(sequences(frames, "frame", "vec"), lambda r: spans_of(kernel(np.stack([np.asarray(v, float) for v in r["vec"]]), rate)), f"array<{SPAN}>", fail=fail))
 
 
+def segment_frames_with_means(frames: DataFrame, method: str = "greedy_cosine", rate: float = 50.0, *, fail: bool = True, **options: Any) -> DataFrame:
+    """Segments of each file's frames with ``embedding``, the mean of a segment's frames, from one pass over the file."""
+    kernel = get_segmenter(method, *sorted(options.items()))
+
+    def run(r: dict[str, Any]) -> list[dict[str, Any]]:
+        x = np.stack([np.asarray(v, float) for v in r["vec"]])
+        return [{"start": float(a), "peak": float(p), "end": float(b), "embedding": m.tolist()} for (a, p, b), m in segmenters.spans_with_means(kernel(x, rate), x, rate)]
+
+    results = apply_kernel(sequences(frames, "frame", "vec"), run, "array<struct<start:double,peak:double,end:double,embedding:array<double>>>", fail=fail)
+    rows = results.select("file_id", F.posexplode("result").alias("segment_id", "s"))
+    return rows.select("file_id", F.col("segment_id").cast("long").alias("segment_id"), "s.*")
+
+
 def segment_signal(signal: DataFrame, method: str = "peakdetect", *, fail: bool = True, **options: Any) -> DataFrame:
     """Segments of each file's envelope (file_id, idx, t, v)."""
     if segmenter_name(method) != "peakdetect":
@@ -226,7 +283,7 @@ def envelope_of(waves: DataFrame, method: str = "sbs", *, fail: bool = True, **o
 
 
 def envelope_of_frames(frames: DataFrame, method: str, rate: float = 50.0, *, fail: bool = True, **options: Any) -> DataFrame:
-    """Envelopes drawn from frames: feature_coherence, greedy_cosine or mincut."""
+    """Envelopes drawn from frames: feature_coherence, greedy_cosine, mincut, or cls_attention on weights of heads."""
     make = _FRAME_ENVELOPES.get(plain(method))
     if make is None:
         raise ValueError(f"unknown frame envelope: {method}; there are {', '.join(_FRAME_ENVELOPES)}")
@@ -238,9 +295,9 @@ def envelope_of_frames(frames: DataFrame, method: str, rate: float = 50.0, *, fa
     return signal_of(apply_kernel(sequences(frames, "frame", "vec"), kernel, "struct<t:array<double>,v:array<double>>", fail=fail))
 
 
-def extract(waves: DataFrame, method: str = "mfcc", *, fail: bool = True, **options: Any) -> DataFrame:
-    """A registered extractor on waveforms: file_id, result (frames x dimensions), success, error."""
-    make = get_features(method)
+def extract(waves: DataFrame, method: str = "mfcc", *, attention: bool = False, fail: bool = True, **options: Any) -> DataFrame:
+    """A registered extractor on waveforms: file_id, result (frames x dimensions, or frames x heads), success, error."""
+    make = get_attention(method) if attention else get_features(method)
     kernel = lambda r: [np.asarray(x, float).tolist() for x in make(np.asarray(r["samples"], float), int(r["sr"]), **options)]
     return apply_kernel(waves.select("file_id", "sr", "samples"), kernel, "array<array<double>>", fail=fail)
 
@@ -255,6 +312,11 @@ def features_of(waves: DataFrame, method: str = "mfcc", *, fail: bool = True, **
     return frames_of(extract(waves, method, fail=fail, **options))
 
 
+def attention_of(waves: DataFrame, method: str, *, fail: bool = True, **options: Any) -> DataFrame:
+    """Weights (file_id, frame, vec of one weight a head) of waveforms by a registered extractor with attention."""
+    return frames_of(extract(waves, method, attention=True, fail=fail, **options))
+
+
 def evaluate_spans(predicted: DataFrame, reference: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """Best assignment of spans by overlap in each file: TP, Ins, Del, Sub and TER.
 

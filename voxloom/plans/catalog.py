@@ -465,7 +465,7 @@ for _how, _sql in (("max", "max(w)"), ("union_strength", "sum(w)"), ("mean_impor
     + """, rn AS (SELECT *, frame - row_number() OVER (PARTITION BY file_id ORDER BY frame) AS g FROM un WHERE important),
 ru AS (SELECT file_id, min(frame) AS a, max(frame) + 1 AS z FROM rn GROUP BY file_id, g), lo AS (SELECT *, max((z - a > 1)::INT) OVER (PARTITION BY file_id) AS long FROM ru),
 kp AS (SELECT * FROM lo WHERE long = 0 OR z - a > 1), nf AS (SELECT file_id, max(frame) + 1 AS n FROM att GROUP BY 1), sm AS (SELECT file_id, frame, sum(w) AS s FROM att GROUP BY ALL)
-SELECT kp.file_id, round(a / 50.0, 6) AS start, round(arg_max(frame, (s, -frame)) / 50.0, 6) AS peak, round(least(z, n - 1) / 50.0, 6) AS "end"
+SELECT kp.file_id, round(a / 50.0, 6) AS start, round(arg_max(frame, (s, -frame)) / 50.0, 6) AS peak, round((z - 1) / 50.0, 6) AS "end"
 FROM kp JOIN nf ON nf.file_id = kp.file_id JOIN sm ON sm.file_id = kp.file_id AND frame >= a AND frame < z GROUP BY kp.file_id, a, z, n""",
 )
 def attention_segments(v: Views) -> DataFrame:

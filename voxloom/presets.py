@@ -5,12 +5,13 @@ from __future__ import annotations
 from copy import deepcopy
 from typing import Any
 
+#: Published settings.
 RECIPES: dict[str, dict[str, Any]] = {
     "sylber": {"segmentation": "greedy_cosine", "features": "sylber", "pooling": "mean", "segmentation_kwargs": {"norm_threshold": 2.6, "merge_threshold": 0.8}},
     "vg_hubert_mincut": {"segmentation": "mincut", "features": "vghubert", "pooling": "mean", "segmentation_kwargs": {"sec_per_syllable": 0.22, "bounded": True, "min_hop": 3, "max_hop": 50}},
     "vg_hubert_cls": {"segmentation": "cls_attention", "features": "vghubert", "pooling": "mean", "feature_kwargs": {"mode": "word"}},
 }
-#: Segmenters with fixed settings: envelope or features, method, and their options.
+#: Segmenters with published settings: envelope or features, method, and their options.
 SEGMENTERS: dict[str, dict[str, Any]] = {
     "sbs_peakdetect": {"envelope": "sbs", "method": "peakdetect", "envelope_kwargs": {"pivot_freq": 3000, "smoothing_window_samples": 7}, "kwargs": {"delta": 0.01, "max_syllable_dur": 0.4, "amplitude_ratio_tol": 0.4}},
     "theta_oscillator": {"envelope": "theta", "method": "peakdetect", "envelope_kwargs": {"f": 5, "Q": 0.5, "N": 8}, "kwargs": {"delta": 0.025, "lookahead": 1}},
@@ -29,6 +30,13 @@ def list_segmenter_presets() -> list[str]:
     return sorted(SEGMENTERS)
 
 
+def segmenter_preset(name: str) -> dict[str, Any]:
+    """A segmenter's method, envelope or features, and options for ``api.segment_audio``."""
+    if name not in SEGMENTERS:
+        raise ValueError(f"unknown segmenter preset: {name}; there are {', '.join(list_segmenter_presets())}")
+    return deepcopy(SEGMENTERS[name])
+
+
 def get_preset(name: str) -> dict[str, Any]:
     if name not in RECIPES:
         raise ValueError(f"unknown preset: {name}; there are {', '.join(list_presets())}")
