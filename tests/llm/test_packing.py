@@ -9,12 +9,12 @@ from voxloom.llm import packing
 
 def exact(texts):
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     return [[*t.encode(x or "", add_special_tokens=False).ids, packing.END_ID] for x in texts]
 
 
 def test_words_alone_give_the_ids_of_whole_texts():
     texts = ["Don't stop!! ok. A.B. x.\x1cy 123,4 ΑΣ Σ. é.é ÉCOLE, naïvé It's»ok. <|endoftext|> 'S ok'! x_y", "", "İx ß. Ǆ ..."]
+    texts += ["hello <|endoftext|> x", "a<|endoftext|>B<|startoftext|>", "<|ENDOFTEXT|> y <|endoftext|", "x  <|startoftext|>\n<|endoftext|><|endoftext|>z", "don<|endoftext|>'t", "<|endoftext|>"]
     got = packing.WordIds(packing.tokenizer_path(), cache=5)([t.encode() for t in texts])
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e[:-1] for e in exact(texts)]
 

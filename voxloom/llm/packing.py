@@ -14,6 +14,7 @@ the patterns, both bounded by the number of classes, ever reach the driver.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from array import array
@@ -31,6 +32,7 @@ from voxloom.llm.common import arrow_rows, as_bytes, materialize, slices
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 CACHE = 500_000
+BUCKET_ROWS = 1 << 22
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -52,8 +54,9 @@ class WordIds:
     """Ids of whole texts by a tokenizer that lower-cases and never joins text across ASCII white space.
 
     Such a tokenizer's ids are the concatenation of its ids word by word, so words are encoded once
-    and kept, as little-endian 32-bit bytes, in a cache that is emptied when full. Strings of
-    special tokens in a text are ordinary text.
+    and kept, as little-endian 32-bit bytes, in a cache that is emptied when full. Strings of special
+    tokens are found in the text as it is, before anything is lower-cased, and part what stands around
+    them; what is left is ordinary text.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -61,8 +64,13 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # words hold none that the text itself holds
         self.cache, self.most = {}, cache
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("only special tokens that are taken literally are known here")
+        self.special = {t.content.encode(): array("I", [k]).tobytes() for k, t in added.items()}
+        self.parting = re.compile(b"(" + b"|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + b")")
 
     def words(self, new: list[bytes]) -> list[bytes]:
         """Ids of single words. A run of lower-case letters needs the model alone, on the byte alphabet."""
@@ -85,6 +93,16 @@ class WordIds:
         return out
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
+        marked = [k for k, t in enumerate(texts) if any(s in t for s in self.special)]
+        if not marked:
+            return self.plain(texts)
+        parts = [[t] for t in texts]
+        for k in marked:
+            parts[k] = self.parting.split(texts[k])
+        ids = iter(self.plain([p for ps in parts for p in ps[::2]]))  # every second one is a special token
+        return [b"".join(self.special[p] if i % 2 else next(ids) for i, p in enumerate(ps)) for ps in parts]
+
+    def plain(self, texts: list[bytes]) -> list[bytes]:
         split = [t.lower().split() for t in texts]
         all_words, cache = set().union(*split), self.cache
         new = [w for w in all_words if w not in cache]
@@ -336,7 +354,7 @@ def pack(
     capacity: int = 4096,
     grid: int = 64,
     tokenizer: str | None = None,
-    buckets: int = 128,
+    buckets: int | None = None,
     with_ids: bool = False,
 ) -> DataFrame:
     """Every document's pieces with their places in sequences of at most ``capacity`` ids.
@@ -347,19 +365,20 @@ def pack(
     columns are neither read nor returned.
 
     Ranks are counted in ``buckets`` parts of each class, which hold about the same number of
-    rows whatever the ids are, so a class that holds most rows is not one task's work.
+    rows whatever the ids are, so a class that holds most rows is not one task's work. There are
+    as many as keep a part of a class below some BUCKET_ROWS documents.
     """
+    buckets = buckets or max(128, -(-docs.count() // BUCKET_ROWS))
     assert capacity % grid == 0 and capacity >= 4 * grid
     spark = docs.sparkSession
     made = pieces(docs, id_col, text_col, capacity=capacity, grid=grid, path=tokenizer or tokenizer_path(), with_ids=with_ids)
     own = F.struct("doc_id", "row_crc32", "start")
     made = materialize(made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row_crc32", "start", F.monotonically_increasing_id()), F.lit(buckets))), "pieces")
-    sizes = {(r["length"], r["bucket"]): r["n"] for r in made.groupBy("length", "bucket").agg(F.count("*").alias("n")).collect()}  # classes x buckets
+    sizes = made.groupBy("length", "bucket").agg(F.count("*").alias("n")).toPandas()  # classes x buckets
     lengths = np.append(classes(capacity, grid), capacity)
     at = {int(x): k for k, x in enumerate(lengths)}
     counts = np.zeros((len(lengths), buckets), np.int64)
-    for (size, bucket), n in sizes.items():
-        counts[at[size], bucket] = n
+    counts[sizes["length"].map(at).to_numpy(np.int64), sizes["bucket"].to_numpy(np.int64)] = sizes["n"].to_numpy()
     before = np.cumsum(counts, axis=1) - counts
     demand = counts.sum(axis=1)
     chosen = patterns_for(lengths[:-1], demand[:-1], capacity, grid)
