@@ -61,7 +61,7 @@ def records(rows: DataFrame) -> DataFrame:
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", record_id(F.col("page_id"), F.col("payload_digest"))),
-        line("WARC-Date", F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        line("WARC-Date", F.concat(F.translate(F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, unix_seconds(time))").cast("string"), " ", "T"), F.lit("Z"))),  # UTC in any session
         line("WARC-Target-URI", url),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", record_id(F.col("refers_to"), F.col("payload_digest"))))).otherwise(""),
@@ -134,6 +134,8 @@ def capture(head: dict[str, str], block: bytes) -> tuple:
     return url_key(head["warc-target-uri"]), head["warc-date"], page(head["warc-record-id"]), head["warc-target-uri"], head["warc-type"], refers, size, digest
 
 
+#: Captures that a task merges at a time.
+RANGE_ROWS = 100_000
 FIELDS = {
     "url_key": pa.string(), "timestamp": pa.string(), "page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(),
     "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "offset": pa.int64(), "length": pa.int64(), "file": pa.string(),
@@ -208,10 +210,11 @@ def merge_index(found: DataFrame, ranges: int | None = None) -> DataFrame:
     """All captures in global order: ``part`` numbers the ranges, ``place`` the captures within one.
 
     Ranges are cut by URL key, timestamp, page and file, so a page or host captured over and over is
-    spread over several; the slice of a run in a range keeps the run's order by its ``place``.
+    spread over several; the slice of a run in a range keeps the run's order by its ``place``. There are
+    as many ranges as keep one near RANGE_ROWS captures, which is what the task that merges it holds.
     """
     spark = found.sparkSession
-    n = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // RANGE_ROWS))
     dealt = found.repartitionByRange(n, "url_key", "timestamp", F.col("page_id").asc_nulls_first(), "file", "offset")
     dealt = dealt.sortWithinPartitions("file", "url_key", "timestamp", F.col("page_id").asc_nulls_first(), "offset")  # slices of runs, one after another
 
@@ -239,7 +242,11 @@ def merge_index(found: DataFrame, ranges: int | None = None) -> DataFrame:
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, time: Column | None = None, path: str | None = None) -> DataFrame:
-    """Write the pages to an archive, read it back and return its merged index."""
+    """Write the pages to an archive, read it back and return its merged index.
+
+    Rows are taken as ``write_archive`` takes them, each is one capture, and payloads of any length are
+    written and read whole; an empty table gives no row. Other columns are not read.
+    """
     spark = pages.sparkSession
     path = path or shared_path(spark, "archive")
     write_archive(pages, path, id_col, url_col, html_col, time=time)
