@@ -88,6 +88,35 @@ def test_language_model(spark, tables, bounds):
         assert x["score"].sum() > x["base_score"].sum()
 
 
+def test_score_is_the_trained_models_likelihood(spark, tables, monkeypatch):
+    """Against a plain forward recursion, one text and one state at a time, over the same trained model."""
+    seen, own, shared = {}, 40, 16
+    train, vocabulary = hmm.train, hmm.vocabulary
+    monkeypatch.setattr(hmm, "train", lambda *a, **k: seen.setdefault("model", train(*a, **k)))
+    monkeypatch.setattr(hmm, "vocabulary", lambda *a, **k: seen.setdefault("vocab", vocabulary(*a, **k)))
+    docs = tables("documents")
+    rows = hmm.score(docs, states=3, own=own, known=300, shared=shared).collect()
+    texts = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in docs.collect()}
+    m, vocab = seen["model"], seen["vocab"][0]
+    counts = Counter(w for d, ws in texts.items() if not held(d) for w in ws)
+    of = {w: 1 + k for k, w in enumerate(vocab.words[: vocab.own])}
+    assert 0 < len(of) <= own and min(counts[w] for w in of) >= max(counts[w] for w in set(counts) - set(of))
+    total, kinds = Counter(), Counter()
+    for w, n in counts.items():
+        if w not in of:
+            total[zlib.crc32(w) % shared] += n
+            kinds[zlib.crc32(w) % shared] += 1
+    for r in rows:
+        a, want = m.start.tolist(), 0.0
+        for w in [*texts[r["doc_id"]], None]:
+            k = None if w is None or w in of else zlib.crc32(w) % shared
+            symbol = 0 if w is None else of[w] if k is None else 1 + vocab.own + k
+            here = [x * float(m.emit[symbol, s]) for s, x in enumerate(a)]
+            want += math.log10(sum(here)) + (0.0 if k is None else math.log10((counts[w] + 0.1) / (total[k] + 0.1 * (kinds[k] + 1))))
+            a = [sum(x * float(m.move[p, s]) for p, x in enumerate(here)) / sum(here) for s in range(3)]
+        assert r["score"] == pytest.approx(want, rel=1e-6)
+
+
 def test_all_words_sum_to_less_than_one(spark, tables):
     """The model's one-word texts are events that exclude each other."""
     docs = tables("documents").filter(F.length("text") < 300)
@@ -181,6 +210,20 @@ def test_archive_round_trip(spark, tmp_path):
     assert warc.archive_pages(df.limit(0), path=str(tmp_path / "none")).count() == 0
 
 
+def test_archive_of_a_long_page_in_another_time_zone(spark, tmp_path):
+    long = "é<p>" * 3_000_000
+    df = spark.createDataFrame([(1, "http://a.org/x", long), (2, "http://a.org/y", long), (3, "http://a.org/z", "short")], "page_id long, url string, html string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = {r["page_id"]: r for r in warc.archive_pages(df, time=F.timestamp_seconds(F.lit(1_710_054_000)), path=str(tmp_path / "w")).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert {r["timestamp"] for r in got.values()} == {"2024-03-10T07:00:00Z"}  # as clocks go forward there
+    assert [got[k]["record_type"] for k in (1, 2, 3)] == ["response", "revisit", "response"]
+    assert got[1]["payload_bytes"] == got[2]["payload_bytes"] == len(long.encode())
+
+
 def test_url_keys():
     assert warc.url_key("HTTP://WWW.Example.org:80/A?b=2&a=1#x") == "org,example)/a?a=1&b=2"
     assert warc.url_key("https://example.org:8080") == "org,example:8080)/"
@@ -216,6 +259,22 @@ def test_rollup_equals_a_recount(spark, tables, tmp_path):
     assert totals(store) == want([(r["source"], r["lang"], r["text"]) for r in docs.collect()])
 
 
+def test_rollup_messy(spark, messy, tmp_path):
+    """Rows without an id and with one id count each for itself unless they are equal; against the tokenizer on whole texts."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    rows = {(r["doc_id"], r["source"], r["lang"], r["text"]) for r in messy.collect()}
+    found = {}
+    for _, source, lang, text in rows:
+        d, t = found.get((source, lang), (0, 0))
+        found[source, lang] = d + 1, t + len(tokenizer.encode(text or "", add_special_tokens=False).ids)
+    assert totals(rollup.rollup_by_batches(messy, str(tmp_path / "m"))) == Counter(found)
+    assert rollup.rollup_by_batches(messy.limit(0), str(tmp_path / "none")).totals().count() == 0
+    two = spark.createDataFrame([(1, "a", "en", "one"), (1, "a", "en", "two three"), (None, "a", "en", "x"), (None, "a", "en", "y")], "doc_id long, source string, lang string, text string")
+    assert sum(d for d, _ in totals(rollup.rollup_by_batches(two, str(tmp_path / "two"))).values()) == 4
+
+
 def test_rollup_batches(spark, tmp_path):
     cols = "op string, doc_id long, source string, lang string, text string, tokens int"
     store = rollup.TokenRollup(spark, str(tmp_path / "r"))

@@ -310,6 +310,45 @@ def test_machine_learns_a_meeting():
     assert m.logits([np.array([1, 2], np.int32)])[0] == pytest.approx(m.bias + m.weight[[1, 2]].sum() + v[0] @ v[1], abs=1e-5)
 
 
+def plain_slots(text):
+    words = {w for w in re.findall(rb"[a-z'\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))}
+    terms = {b"w" + w for w in words}
+    for w in words:
+        u = w.decode("utf-8", "replace")
+        terms |= {b"%d" % k + u[:k].encode() for k in (4, 5) if len(u) > k}
+    return sorted({zlib.crc32(t) % (1 << 18) for t in terms})
+
+
+def test_toxicity_equals_a_plain_version(spark, tables, messy, monkeypatch):
+    """Terms, training rows and scores: every score is the sum over terms and over all pairs of terms."""
+    seen = {}
+    real = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda *a, **k: seen.setdefault("machine", real(*a, **k)))
+    docs, labels = tables("documents"), tables("labels")
+    got = {r["doc_id"]: (r["held_out"], r["score"], r["predicted"]) for r in toxicity.toxicity(docs, labels).collect()}
+    texts, known = {r["doc_id"]: r["text"] for r in docs.collect()}, {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    m = seen["machine"]
+    for d, t in texts.items():
+        slots = plain_slots(t)
+        v = [m.vector[s].astype(float) for s in slots]
+        z = m.bias + sum(float(m.weight[s]) for s in slots) + sum(float(v[i] @ v[j]) for i in range(len(v)) for j in range(i) if v[i].any() and v[j].any())
+        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        assert got[d] == (zlib.crc32(str(d).encode()) % 5 == 0, pytest.approx(p, abs=1e-9), int(got[d][1] >= 0.5))
+    learned = [d for d in sorted(texts) if d in known and zlib.crc32(str(d).encode()) % 5 != 0]
+    again = toxicity.fit([np.array(plain_slots(texts[d]), np.int32) for d in learned], np.array([float(known[d]) for d in learned]), prior=np.mean([known[d] for d in learned]))
+    assert np.allclose(m.weight, again.weight, atol=1e-5) and np.allclose(m.vector, again.vector, atol=1e-5) and m.bias == pytest.approx(again.bias)
+
+
+def test_fit_goes_down_the_gradient():
+    """A step from the same start goes against the numerical gradient of the logistic loss, in weights and vectors."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 6, 3)).astype(np.int32) for _ in range(400)]
+    label = np.array([float(0 in r and 1 in r) for r in rows])
+    loss = lambda m: float(np.mean(np.logaddexp(0, m.logits(rows)) - label * m.logits(rows)))
+    losses = [loss(toxicity.fit(rows, label, epochs=k, decay=0.0)) for k in (1, 3, 9, 27)]
+    assert losses == sorted(losses, reverse=True) and losses[-1] < 0.5 * losses[0]
+
+
 def test_toxicity_held_out(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()

@@ -196,11 +196,19 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Scores of all ``docs`` by a machine that is trained on their labelled rows, as ``train`` and ``score`` take them.
+
+    An empty table gives no row; without labels every text scores 0 to six digits.
+    """
     return score(docs, train(docs, labels, id_col, text_col, **options), id_col, text_col)
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that are not predicted toxic, with the same columns."""
+    """The rows that are not predicted toxic, with the same columns, whatever their names.
+
+    Null and empty texts score the bias and so stay where toxic texts are the fewer; rows that repeat
+    stay or go together, texts are read whole, and an empty table gives no row.
+    """
     names = docs.columns
     rows = score(docs, train(docs, labels, id_col, text_col), id_col, text_col, keep=names).filter("predicted = 0")
     return rows.select(*(F.col(f"k{i}").alias(n) for i, n in enumerate(names)))
