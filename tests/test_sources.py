@@ -125,6 +125,26 @@ def test_cli(spark, corpus, tmp_path):
         cli.build_parser().parse_args(["evaluate", "a", "b", "--tolerance", "-1", "--out", "c"])
 
 
+def test_array_archives(spark, tmp_path):
+    rows = [(k, f"a/{k}.wav", [[float(k), 1.5], [2.0, 3.0]], {"k": "v"}, True, None) for k in range(5)] + [(9, "b.wav", [], {}, False, "broken")]
+    df = spark.createDataFrame(rows, "file_id long, audio_path string, embeddings array<array<double>>, metadata map<string,string>, success boolean, error string")
+    assert stores.save_archives(df.coalesce(1), f"{tmp_path}/npz", files=4) == 2
+    assert stores.save_archives(df.coalesce(1), f"{tmp_path}/npz", files=4) == 2  # again, in place
+    back = stores.load_archives(spark, f"{tmp_path}/npz", filter_failed=False).orderBy("file_id")
+    assert [tuple(r) for r in back.collect()] == [tuple(r) for r in df.orderBy("file_id").collect()]
+    assert stores.load_archives(spark, f"{tmp_path}/npz").count() == 5
+    assert sorted(np.load(next((tmp_path / "npz").glob("part-*-00000.npz")))["embeddings_1"].ravel()) == [1.0, 1.5, 2.0, 3.0]
+    assert stores.save_archives(df.limit(0), f"{tmp_path}/none") == 0
+    try:
+        import h5py  # noqa: F401
+    except ImportError:
+        with pytest.raises(ImportError, match="h5py"):
+            stores.save_archives(df, f"{tmp_path}/h5", "h5")
+    else:
+        stores.save_archives(df, f"{tmp_path}/h5", "h5")
+        assert stores.load_archives(spark, f"{tmp_path}/h5", "h5").count() == 5
+
+
 def test_bundles_and_artifacts(spark, tmp_path):
     rows = spark.createDataFrame([(0, "a", [[1.0, 2.0], [3.0, 4.0]], {"k": "v"}, True, None), (1, "b", [], {}, False, "broken")], "file_id long, audio_path string, embeddings array<array<double>>, metadata map<string,string>, success boolean, error string")
     for kind in ("parquet", "json"):

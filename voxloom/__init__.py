@@ -38,6 +38,8 @@ _WHERE = {
     "plot_segmentation_result": "plotting.plot_segmentation_result",
     "save_embeddings": "sources.stores.save_embeddings",
     "load_embeddings": "sources.stores.load_embeddings",
+    "save_archives": "sources.stores.save_archives",
+    "load_archives": "sources.stores.load_archives",
     "DiscoveryPipeline": "operators.discovery.DiscoveryPipeline",
     "save_discovery_pipeline": "operators.discovery.save_pipeline",
     "load_discovery_pipeline": "operators.discovery.DiscoveryPipeline.load",
