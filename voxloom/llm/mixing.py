@@ -208,7 +208,8 @@ def mixed_documents(docs: DataFrame, source_col: str = "source", id_col: str = "
     """The mix itself, with the columns of ``docs``: a row for every taking of a document.
 
     The document at the end of a source's line is cut to the words that are taken of it; all others
-    are whole. Documents without words give no row.
+    are whole. Documents without words (null, empty or blank texts) give no row; a null source is one of
+    its own; rows that repeat are taken each for itself; an empty table gives no row; columns may have any name.
     """
     names = docs.columns
     rows, _ = _mixed(docs, F.array(F.col(f"`{source_col}`").cast("string")), id_col, text_col, names, **options)

@@ -133,7 +133,11 @@ def ablations(rows: DataFrame, version: str = "web-1") -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", version: str = "web-1") -> DataFrame:
-    """The rows that the policy keeps, with the same columns."""
+    """The rows that the policy keeps, with the same columns, whatever their names.
+
+    Null, empty and blank texts have no word and go; rows that repeat stay or go together; texts are measured
+    whole; an empty table gives no row.
+    """
     rows = ledger(docs, id_col, text_col, keep=docs.columns + [text_col])
     names = docs.columns
     return apply_policy(rows, version).filter("kept").select(*(F.col(f"k{i}").alias(n) for i, n in enumerate(names)))

@@ -285,7 +285,8 @@ def component_of(fps: DataFrame, k: int, scratch: Scratch) -> DataFrame:
 #
 # Fingerprints of texts that are similar by 0.8 differ in some 10 of 64 bits: a pigeonhole over bits
 # that finds all of these has to compare nearly all pairs. So fingerprints find the near copies, in
-# large groups too, and the pigeonhole over the shingles themselves finds every other similar pair.
+# large groups too, and the pigeonhole over the shingles themselves (they are dealt to more parts
+# than similar texts can all differ in) finds every other similar pair.
 
 #: Bits in which fingerprints of the first candidates differ at most.
 NEAR_BITS = 3
