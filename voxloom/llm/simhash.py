@@ -290,33 +290,32 @@ def component_of(fps: DataFrame, k: int, scratch: Scratch) -> DataFrame:
 
 #: Bits in which fingerprints of the first candidates differ at most.
 NEAR_BITS = 3
+#: Texts leave shingle keys that more than COMMON have, where they can spare these.
+COMMON = 32
 #: Texts under one shingle key beyond that number first meet by way of one of them, for LEADS rounds.
 GROUP, LEADS = 256, 3
 #: Sizes of a class lie within this ratio; texts meet in the class of the larger one.
 RATIO = 1.5
-#: A similar pair meets in no part with at most this probability (over the hash that deals shingles to parts).
-MISS = 1e-9
+#: Shingles of larger classes are dealt to that many parts for each that similar texts may differ in, one more counted.
+PARTS_EACH = 1.5
+#: In classes of texts of up to that many shingles each shingle is a part of its own.
+FINE = 64
 
 
 @lru_cache(maxsize=8)
 def part_counts(similarity: float, largest: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each class: its least size, how many parts shingles are dealt to, and the least size of the class below that meets it.
-
-    Similar sets a and b differ in at most (a + b) (1 - s) / (1 + s) elements, d for the largest
-    of a class. With d + 1 parts one at least has no difference. With fewer parts m, each is
-    without one with probability (1 - 1 / m) ** d, and the least m that misses all with no more
-    than MISS is taken. No text has ``largest`` shingles.
-    """
+    """Of each class: its least size, how many parts shingles are dealt to (0: one each), and the least size of the class
+    below that meets it. No text has ``largest`` shingles."""
     first = np.unique(np.ceil(RATIO ** np.arange(1 + int(np.log(largest) / np.log(RATIO)))).astype(np.int64))
     last = np.append(first[1:] - 1, largest)
-    parts = []
-    for d in np.floor(2 * last * ((1 - similarity) / (1 + similarity)) + 1e-6).astype(np.int64).tolist():
-        low, high = 1, d + 1
-        while high - low > 1 and d > 30:
-            m = (low + high) // 2
-            low, high = (low, m) if m * np.log1p(-np.exp(d * np.log1p(-1 / m))) <= np.log(MISS) else (m, high)
-        parts.append(high)
-    return first, np.array(parts, np.uint64), np.ceil(first * similarity - 1e-6).astype(np.int64)
+    parts = np.where(last <= FINE, 0, np.ceil(PARTS_EACH * (differing(last, last, similarity) + 1)))
+    return first, parts.astype(np.uint64), np.ceil(first * similarity - 1e-6).astype(np.int64)
+
+
+def differing(size: np.ndarray, largest: np.ndarray, similarity: float) -> np.ndarray:
+    """In how many elements a set of that size and a similar one of no more than ``largest`` differ at most."""
+    other = np.minimum(np.floor(size / similarity + 1e-6), largest)
+    return np.floor((size + other) * ((1 - similarity) / (1 + similarity)) + 1e-6).astype(np.int64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -326,39 +325,52 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def part_keys(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of sets and keys under which they are entered: similar sets share one (but see ``part_counts``).
+def part_keys(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of sets, keys under which they are entered, and (sets x 2) how many keys a set can spare.
 
-    A key is a hash of a class, a part of it, and what of the set lies in that part; empty parts have none.
+    A set is entered in its own class and, where it may be similar to one of the next, in that one. A
+    key is a hash of a class, a part of it, and what of the set lies in that part; empty parts have
+    none. Its lowest bit tells even and odd classes apart. Similar sets differ in some d elements at
+    most, which lie in no more than d parts: of the k keys of a class they share k - d at least, and
+    still meet when any k - d - 1 of them, which is what a set can spare, are left out.
     """
     first, parts, reach = part_counts(similarity)
+    last = np.append(first[1:] - 1, np.int64(1) << 40)
     size = np.array([len(x) for x in sets], np.int64)
     every = np.concatenate([*sets, np.zeros(0, np.uint64)])
-    own = np.searchsorted(first, size, side="right") - 1
+    own = np.maximum(np.searchsorted(first, size, side="right") - 1, 0)
+    spare = np.full((len(sets), 2), -1, np.int64)
     where, out = [], []
     for above in (0, 1):
         in_class = np.minimum(own + above, len(first) - 1)
         some = (size > 0) & ((above == 0) | (size >= reach[in_class]))
         if not some.any():
             continue
-        m = np.where(some, parts[in_class], 0).astype(np.uint64)
+        fine = parts[in_class] == 0
+        m = np.where(some, np.where(fine, size.astype(np.uint64), parts[in_class]), 0).astype(np.uint64)
         base = np.cumsum(m) - m
-        text, values = np.repeat(np.arange(len(sets)), np.where(some, size, 0)), every[np.repeat(some, size)]
+        held = np.where(some, size, 0)
+        text, values = np.repeat(np.arange(len(sets)), held), every[np.repeat(some, size)]
         spread = mixed(values ^ mixed(in_class.astype(np.uint64))[text])
-        slot = (base[text] + (((spread >> np.uint64(32)) * m[text]) >> np.uint64(32))).astype(np.int64)
+        place = (np.arange(len(text)) - np.repeat(np.cumsum(held) - held, held)).astype(np.uint64)
+        slot = (base[text] + np.where(fine[text], place, ((spread >> np.uint64(32)) * m[text]) >> np.uint64(32))).astype(np.int64)
         total = np.zeros(int(m.sum()), np.uint64)
         np.add.at(total, slot, mixed(spread))
         used = np.zeros(len(total), bool)
         used[slot] = True
         used = np.nonzero(used)[0]
-        owner = np.searchsorted(base[some], used.astype(np.uint64), side="right") - 1
-        owner = np.nonzero(some)[0][owner]
-        part = used.astype(np.uint64) - base[owner]
+        entered = np.nonzero(some)[0]
+        owner = entered[np.searchsorted(base[some], used.astype(np.uint64), side="right") - 1]
+        part = np.where(fine[owner], np.uint64(0), used.astype(np.uint64) - base[owner])
+        key = mixed(total[used] ^ mixed(part ^ (in_class[owner].astype(np.uint64) << np.uint64(48))))
+        bit = (in_class & 1).astype(np.uint64)
         where.append(owner)
-        out.append(mixed(total[used] ^ mixed(part ^ (in_class[owner].astype(np.uint64) << np.uint64(48)))))
+        out.append((key & ~np.uint64(1)) | bit[owner])
+        count = np.bincount(owner, minlength=len(sets))
+        spare[entered, in_class[entered] & 1] = (count - differing(size, last[in_class], similarity) - 1)[entered]
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(where), np.concatenate(out)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), spare
+    return np.concatenate(where), np.concatenate(out), spare
 
 
 def signed_texts(docs: DataFrame, text_col: str, keep: list[str], names: list[str], width: int) -> DataFrame:
@@ -382,16 +394,18 @@ def signed_texts(docs: DataFrame, text_col: str, keep: list[str], names: list[st
     return rows.mapInArrow(run, f"{fields}, whole long, other long, fp long")
 
 
-def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
-    """(node, body) -> (node, shingles): the distinct shingle hashes of each text."""
+def shingle_sets(rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(node, body) -> (node, shingles, size, even, odd): the distinct shingle hashes of each text, and the keys it can spare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            sets = [np.unique(shingle_hashes(t.lower().split(), width)).view(np.int64) for t in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            sets = [np.unique(shingle_hashes(t.lower().split(), width)) for t in as_bytes(batch.column(1))]
+            spare = part_keys(sets, similarity)[2]
+            cols = [batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int64()), pa.array(spare[:, 0]), pa.array(spare[:, 1])]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "shingles", "size", "even", "odd"])
 
     arrow_rows(rows.sparkSession)
-    return rows.select("node", "body").mapInArrow(run, "node long, shingles array<long>")
+    return rows.select("node", "body").mapInArrow(run, "node long, shingles array<long>, size long, even long, odd long")
 
 
 def shared_keys(bodies: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -403,7 +417,7 @@ def shared_keys(bodies: DataFrame, width: int, similarity: float) -> DataFrame:
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [np.unique(shingle_hashes(t.lower().split(), width)) for t in as_bytes(batch.column(1))]
-            where, found = part_keys(sets, similarity)
+            where, found, _ = part_keys(sets, similarity)
             node = batch.column(0).to_numpy()[where]
             for at in range(0, len(node), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(found[at : at + (1 << 16)].view(np.int64)), pa.array(node[at : at + (1 << 16)])], names=["key", "node"])
@@ -446,31 +460,43 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scra
 def similar_classes(members: DataFrame, sets: DataFrame, seeds: DataFrame | None, similarity: float, scratch: Scratch) -> DataFrame:
     """(node, root) for every text that is similar to another one, or by way of others.
 
-    ``members`` has the shingle keys (key, node) that meet, ``sets`` the shingles (node, shingles) of
-    their texts, ``seeds`` pairs (a, b) known to be similar. Under each key, of texts that are not yet
-    in one class, all pairs are compared, or in groups of more than GROUP texts those with one of
-    them (first the one that shares most keys), for up to LEADS rounds. What these rounds have
-    linked need not be compared again. What of a large group is in different classes after that, or
-    after a round that linked nothing, meets in pairs of blocks.
+    ``members`` has the shingle keys (key, node) that meet, ``sets`` the shingles of their texts and
+    what they can spare, ``seeds`` pairs (a, b) known to be similar. A text leaves the keys that more
+    than COMMON texts have, if it can spare them: common passages, mostly. In groups of more than
+    GROUP texts that are left, texts are compared with one of them (first the one that shares most keys), for up to LEADS
+    rounds, or until a round links nothing; what has been linked need not be compared again. All
+    others of a group meet in pairs, large groups by pairs of blocks; and pairs are compared that
+    share as many keys as similar texts must.
     """
-    nodes = scratch.table(members.groupBy("node").agg(F.count("*").alias("shares")), "nodes")
+    bit = F.col("key").bitwiseAND(F.lit(1).cast("long"))
+    spare = sets.select(F.col("node"), F.col("size"), F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("bit"), F.col(c).alias("spare")) for k, c in enumerate(("even", "odd"))))).alias("s")).select("node", "size", "s.*")
+    sizes = members.groupBy("key").agg((F.count("*") > COMMON).alias("large"))
+    told = scratch.table(members.select("key", "node", bit.alias("bit")).join(sizes, "key"), "told")
+    per = told.groupBy("node", "bit").agg(F.sum(F.col("large").cast("long")).alias("left_out"))
+    per = per.join(spare, ["node", "bit"]).withColumn("leaves", F.col("left_out") <= F.col("spare"))
+    # keys that a text still shares with a similar one: all but those that differences may take, less those that either may have left
+    per = per.withColumn("least", F.greatest(F.lit(1).cast("long"), F.col("spare") + 1 - F.col("left_out")))
+    per = scratch.table(per.select("node", "bit", "size", "leaves", "least"), "per")
+    members = scratch.table(told.join(per.select("node", "bit", "leaves"), ["node", "bit"]).filter(~(F.col("large") & F.col("leaves"))).select("key", "node"), "members")
+    scratch.drop(told)
+    nodes = scratch.table(members.groupBy("node").agg(F.count("*").alias("shares")).join(per.groupBy("node").agg(F.max("size").alias("size")), "node"), "nodes")
     none = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     similar = scratch.table(none if seeds is None else seeds, "similar")
     linked = components(similar, scratch)
     for turn in range(LEADS + 1):
         rooted = nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
         now = scratch.table(members.select("key", "node").join(rooted, "node"), "members")
-        first = F.struct((F.lit(0).cast("long") if turn else -F.col("shares")).alias("shares"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")
+        first = F.struct((F.lit(0).cast("long") if turn else -F.col("shares")).alias("shares"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root", "size")
         groups = now.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(first).alias("lead"))
-        groups = groups.filter("low <> high").select("key", "n", F.col("lead.node").alias("lead"), F.col("lead.root").alias("lead_root"))
+        groups = groups.filter("low <> high").select("key", "n", F.col("lead.node").alias("lead"), F.col("lead.root").alias("lead_root"), F.col("lead.size").alias("lead_size"))
         left = scratch.table(now.join(groups, "key"), "members")
-        scratch.drop(now, *([members] if turn else []))
+        scratch.drop(now, members)
         members = left
         large = F.col("n") > GROUP
         if turn == LEADS or members.filter(large).isEmpty():
             break
-        pairs = members.filter(large & (F.col("root") != F.col("lead_root"))).select(F.col("node").alias("a"), F.col("lead").alias("b"))
-        found = verified(pairs, sets, similarity, scratch)
+        pairs = members.filter(large & (F.col("root") != F.col("lead_root")) & near_in_size("size", "lead_size", similarity))
+        found = verified(pairs.select(F.col("node").alias("a"), F.col("lead").alias("b")), sets, similarity, scratch)
         if found.isEmpty():
             break
         more = scratch.table(similar.unionAll(found), "similar")
@@ -479,27 +505,36 @@ def similar_classes(members: DataFrame, sets: DataFrame, seeds: DataFrame | None
     blocks = F.ceil(F.col("n") / GROUP).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
-    a, b = (dealt.select("key", "i", "j", *(F.col(c).alias(f"{c}_{x}") for c in ("own", "node", "root"))) for x in "ab")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "size")
+    a, b = (dealt.select("key", "i", "j", *(F.col(c).alias(f"{c}_{x}") for c in ("own", "node", "root", "size"))) for x in "ab")
     once = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & ((F.col("own_a") != F.col("own_b")) | (F.col("i") == F.col("j")))
-    pairs = a.join(b, ["key", "i", "j"]).filter(once).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    similar = scratch.table(similar.unionAll(verified(pairs, sets, similarity, scratch)), "similar")
+    met = a.join(b, ["key", "i", "j"]).filter(once & near_in_size("size_a", "size_b", similarity))
+    met = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), bit.alias("bit")).agg(F.count("*").alias("shared"))
+    for x in "ab":
+        met = met.join(per.select(F.col("node").alias(x), "bit", F.col("least").alias(f"least_{x}")), [x, "bit"])
+    met = met.filter("shared >= least_a AND shared >= least_b")
+    similar = scratch.table(similar.unionAll(verified(met, sets, similarity, scratch)), "similar")
     out = components(similar, scratch)
-    scratch.drop(nodes, similar, members, linked)
+    scratch.drop(nodes, similar, members, linked, per)
     return out
 
 
-def in_the_middle(linked: DataFrame, texts: DataFrame) -> DataFrame:
-    """(root, lead): of each class (node, root) the text whose fingerprint differs in the fewest bits from the majority
-    of all of them, ties by ``low``."""
-    rows = linked.join(texts.select("node", "fp", "low"), "node")
-    ones = [F.sum(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{b}") for b in range(BITS)]
-    sums = rows.groupBy("root").agg(F.count("*").alias("n"), *ones)
-    centre = F.lit(0).cast("long")
-    for b in range(BITS):
-        centre = centre.bitwiseOR(F.when(F.col(f"b{b}") * 2 > F.col("n"), F.lit(bit_mask([b]))).otherwise(F.lit(0).cast("long")))
-    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("centre")))
-    first = rows.join(sums.select("root", centre.alias("centre")), "root").groupBy("root").agg(F.min(F.struct(far.alias("far"), "low", "node")).alias("first"))
+def near_in_size(a: str, b: str, similarity: float) -> Column:
+    return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - F.lit(1e-6)
+
+
+def in_the_middle(linked: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """(root, lead): of each class (node, root) the text that differs least from the shingles that over half of its
+    texts have, ties by ``low``."""
+    rows = linked.join(sets.select("node", "shingles", "size"), "node")
+    each = rows.select("root", "node", F.explode("shingles").alias("shingle"))
+    n = linked.groupBy("root").agg(F.count("*").alias("n"))
+    major = each.groupBy("root", "shingle").agg(F.count("*").alias("c")).join(n, "root").filter(F.col("c") * 2 > F.col("n")).select("root", "shingle")
+    both = each.join(major, ["root", "shingle"]).groupBy("node").agg(F.count("*").alias("both"))
+    # the number of common shingles is the same for all texts of a class
+    far = F.col("size") - 2 * F.coalesce("both", F.lit(0))
+    told = rows.select("root", "node", "size").join(both, "node", "left").join(texts.select("node", "low"), "node")
+    first = told.groupBy("root").agg(F.min(F.struct(far.alias("far"), "low", "node")).alias("first"))
     return first.select("root", F.col("first.node").alias("lead"))
 
 
@@ -515,20 +550,19 @@ def is_alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 def apart(classes: DataFrame, texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(node) of texts of each class (node, root) no two of which are similar, while all others are similar to one of them.
 
-    They are taken in order from the middle of a class (of two texts the one with the smaller
-    ``low``). A class is held in one task and has GROUP texts at most.
+    They are taken in order of their difference from the shingles that over half of the class have,
+    ties by ``low`` (of two texts the one with the smaller ``low`` is taken). A class is held in one task and has GROUP texts at most.
     """
-    rows = classes.join(texts.select("node", "fp", "low.*"), "node").join(sets, "node")
+    rows = classes.join(texts.select("node", "low.*"), "node").join(sets.select("node", "shingles"), "node")
 
     def run(table: pa.Table) -> pa.Table:
-        fps = table.column("fp").to_numpy().view(np.uint64)
-        ones = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        centre = np.packbits(2 * ones > len(fps), bitorder="little").view("<u8")[0]
-        far = np.bitwise_count(fps ^ centre).tolist()
         low = list(zip(*(table.column(c).to_pylist() for c in ("no_id", "id", "row")), strict=True))
         shingles = [np.sort(x.values.to_numpy(zero_copy_only=False)) for x in table.column("shingles")]
+        every, times = np.unique(np.concatenate(shingles), return_counts=True)
+        major = every[2 * times > len(low)]
+        far = [len(x) - 2 * int(np.isin(x, major, assume_unique=True).sum()) for x in shingles]
         kept: list[int] = []
-        for k in sorted(range(len(fps)), key=lambda k: (far[k], low[k])):
+        for k in sorted(range(len(low)), key=lambda k: (far[k], low[k])):
             if not any(is_alike(shingles[k], shingles[j], similarity) for j in kept):
                 kept.append(k)
         return pa.table({"node": table.column("node").take(pa.array(kept))})
@@ -553,7 +587,7 @@ def staying(linked: DataFrame, texts: DataFrame, members: DataFrame, sets: DataF
         large = sized.filter(F.col("n") > GROUP).drop("n")
         if large.isEmpty():
             return stay
-        leads = scratch.table(in_the_middle(large, texts), "leads")
+        leads = scratch.table(in_the_middle(large, texts, sets), "leads")
         stay = scratch.table(stay.unionAll(leads.select(F.col("lead").alias("node"))), "stay")
         pairs = large.join(leads, "root").filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
         near = verified(pairs, sets, similarity, scratch)
@@ -589,7 +623,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bodies = rows.select(F.col("row").alias("node"), body.cast("string").alias("body")).join(texts.select("node"), "node", "left_semi")
         bodies = scratch.table(bodies, "bodies")
         members = scratch.table(shared_keys(bodies, width, similarity), "keys")
-        sets = scratch.table(shingle_sets(bodies.join(members.select("node").distinct(), "node", "left_semi"), width), "sets")
+        sets = scratch.table(shingle_sets(bodies.join(members.select("node").distinct(), "node", "left_semi"), width, similarity), "sets")
         fps = texts.select("node", "fp")
         n, both = bit_counts(fps)
         seeds = verified(links(fps, plan(n, both, NEAR_BITS), NEAR_BITS, scratch), sets, similarity, scratch)
