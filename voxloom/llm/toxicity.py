@@ -84,8 +84,11 @@ def telling(rows: list[np.ndarray], label: np.ndarray, least: float = 15.0) -> n
     All others would only add noise that grows with a text's length.
     """
     n1, n = float(label.sum()), float(len(label))
-    seen = np.bincount(np.concatenate(rows), minlength=SLOTS).astype(float)
-    toxic = np.bincount(np.concatenate([r for r, y in zip(rows, label, strict=True) if y]), minlength=SLOTS).astype(float)
+    seen, toxic = np.zeros(SLOTS), np.zeros(SLOTS)
+    for at in range(0, len(rows), 512):  # the driver holds the rows, and no second copy of them
+        part = rows[at : at + 512]
+        seen += np.bincount(np.concatenate(part), minlength=SLOTS)
+        toxic += np.bincount(np.concatenate([r for r, y in zip(part, label[at : at + 512], strict=True) if y] or [part[0][:0]]), minlength=SLOTS)
     gap = np.maximum(np.abs(toxic * n - seen * n1) - n / 2, 0)
     return n * gap**2 / np.maximum(seen * (n - seen) * n1 * (n - n1), 1e-9) * (seen > 0) >= least
 
@@ -168,8 +171,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = rows.mapInArrow(run, f"id {kind}, label int, slots binary").dropDuplicates(["id"]).orderBy("id").limit(sum(SAMPLE.values()))
     got = found.select("label", "slots").toArrow()
     label = got.column("label").to_numpy().astype(np.float64)
-    slots = [np.frombuffer(x, "<i4") for x in got.column("slots").to_pylist()]
-    return fit(slots, label, prior=counts.get(1, 0) / max(sum(counts.values()), 1))
+    slots = [np.frombuffer(x.as_buffer(), "<i4") for x in got.column("slots")]
+    machine = fit(slots, label, prior=counts.get(1, 0) / max(sum(counts.values()), 1))
+    del got, slots, found
+    pa.default_memory_pool().release_unused()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", *, held_out_mod: int = 5, keep: list[str] | None = None) -> DataFrame:
