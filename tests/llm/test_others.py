@@ -284,6 +284,25 @@ def test_deduplicate_copies_that_meet_through_the_original(spark, monkeypatch, g
     assert [r["doc_id"] for r in simhash.deduplicate(df).collect()] == [60]
 
 
+def test_deduplicate_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = {r["doc_id"] for r in simhash.deduplicate(docs).select("doc_id").collect()}
+    sets, having, shared = {}, defaultdict(list), Counter()
+    for r in docs.collect():
+        w = (r["text"] or "").encode().lower().split()
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        for x in sets[r["doc_id"]]:
+            having[x].append(r["doc_id"])
+    for ids in having.values():
+        shared.update((a, b) for a in ids for b in ids if a < b)
+    pairs = {(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)}
+    assert pairs and not any(a in kept and b in kept for a, b in pairs)
+    empty = [d for d in sets if not sets[d]]
+    assert sum(d in kept for d in empty) == min(len(empty), 1)
+    for d in set(sets) - kept - set(empty):
+        assert any(d in p and (p[0] in kept or p[1] in kept) for p in pairs)
+
+
 def test_deduplicate_messy(spark, messy):
     out = simhash.deduplicate(messy)
     assert out.columns == messy.columns
