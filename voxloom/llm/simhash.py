@@ -13,7 +13,6 @@ A large group is dealt out as pairs of blocks, none of which is more than one ta
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations, repeat
 
 import numpy as np
@@ -285,37 +284,15 @@ def component_of(fps: DataFrame, k: int, scratch: Scratch) -> DataFrame:
 #
 # Fingerprints of texts that are similar by 0.8 differ in some 10 of 64 bits: a pigeonhole over bits
 # that finds all of these has to compare nearly all pairs. So fingerprints find the near copies, in
-# large groups too, and the pigeonhole over the shingles themselves (they are dealt to more parts
-# than similar texts can all differ in) finds every other similar pair.
+# large groups too, and a pigeonhole over the shingles themselves finds every other similar pair: in
+# any one order of all shingles, similar texts have one in common among the first of each.
 
 #: Bits in which fingerprints of the first candidates differ at most.
 NEAR_BITS = 3
-#: Texts leave shingle keys that more than COMMON have, where they can spare these.
-COMMON = 32
-#: Texts under one shingle key beyond that number first meet by way of one of them, for LEADS rounds.
+#: Texts under one shingle beyond that number first meet by way of one of them, for LEADS rounds.
 GROUP, LEADS = 256, 3
-#: Sizes of a class lie within this ratio; texts meet in the class of the larger one.
-RATIO = 1.5
-#: Shingles of larger classes are dealt to that many parts for each that similar texts may differ in, one more counted.
-PARTS_EACH = 1.5
-#: In classes of texts of up to that many shingles each shingle is a part of its own.
-FINE = 64
-
-
-@lru_cache(maxsize=8)
-def part_counts(similarity: float, largest: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each class: its least size, how many parts shingles are dealt to (0: one each), and the least size of the class
-    below that meets it. No text has ``largest`` shingles."""
-    first = np.unique(np.ceil(RATIO ** np.arange(1 + int(np.log(largest) / np.log(RATIO)))).astype(np.int64))
-    last = np.append(first[1:] - 1, largest)
-    parts = np.where(last <= FINE, 0, np.ceil(PARTS_EACH * (differing(last, last, similarity) + 1)))
-    return first, parts.astype(np.uint64), np.ceil(first * similarity - 1e-6).astype(np.int64)
-
-
-def differing(size: np.ndarray, largest: np.ndarray, similarity: float) -> np.ndarray:
-    """In how many elements a set of that size and a similar one of no more than ``largest`` differ at most."""
-    other = np.minimum(np.floor(size / similarity + 1e-6), largest)
-    return np.floor((size + other) * ((1 - similarity) / (1 + similarity)) + 1e-6).astype(np.int64)
+#: Counters (a power of two) of the sketch that puts shingles in order, and how many of them a row of it holds.
+COUNTERS, SEGMENT = 1 << 22, 1 << 16
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -325,52 +302,60 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def part_keys(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of sets, keys under which they are entered, and (sets x 2) how many keys a set can spare.
+def distinct_shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
+    return [np.unique(shingle_hashes(t.lower().split(), width)) for t in texts]
+
 
-    A set is entered in its own class and, where it may be similar to one of the next, in that one. A
-    key is a hash of a class, a part of it, and what of the set lies in that part; empty parts have
-    none. Its lowest bit tells even and odd classes apart. Similar sets differ in some d elements at
-    most, which lie in no more than d parts: of the k keys of a class they share k - d at least, and
-    still meet when any k - d - 1 of them, which is what a set can spare, are left out.
+def counter_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+def levels(bodies: DataFrame, width: int) -> np.ndarray:
+    """For each counter 256 times the binary logarithm of how many shingles of all texts (body) fall to it.
+
+    A task sums up its texts in COUNTERS numbers and sends segments of them, which are added up one
+    row after another. The result has COUNTERS short numbers whatever the corpus: shingles that are
+    far more frequent than a counter's usual load stand out, and only the speed depends on which do.
     """
-    first, parts, reach = part_counts(similarity)
-    last = np.append(first[1:] - 1, np.int64(1) << 40)
-    size = np.array([len(x) for x in sets], np.int64)
-    every = np.concatenate([*sets, np.zeros(0, np.uint64)])
-    own = np.maximum(np.searchsorted(first, size, side="right") - 1, 0)
-    spare = np.full((len(sets), 2), -1, np.int64)
-    where, out = [], []
-    for above in (0, 1):
-        in_class = np.minimum(own + above, len(first) - 1)
-        some = (size > 0) & ((above == 0) | (size >= reach[in_class]))
-        if not some.any():
-            continue
-        fine = parts[in_class] == 0
-        m = np.where(some, np.where(fine, size.astype(np.uint64), parts[in_class]), 0).astype(np.uint64)
-        base = np.cumsum(m) - m
-        held = np.where(some, size, 0)
-        text, values = np.repeat(np.arange(len(sets)), held), every[np.repeat(some, size)]
-        spread = mixed(values ^ mixed(in_class.astype(np.uint64))[text])
-        place = (np.arange(len(text)) - np.repeat(np.cumsum(held) - held, held)).astype(np.uint64)
-        slot = (base[text] + np.where(fine[text], place, ((spread >> np.uint64(32)) * m[text]) >> np.uint64(32))).astype(np.int64)
-        total = np.zeros(int(m.sum()), np.uint64)
-        np.add.at(total, slot, mixed(spread))
-        used = np.zeros(len(total), bool)
-        used[slot] = True
-        used = np.nonzero(used)[0]
-        entered = np.nonzero(some)[0]
-        owner = entered[np.searchsorted(base[some], used.astype(np.uint64), side="right") - 1]
-        part = np.where(fine[owner], np.uint64(0), used.astype(np.uint64) - base[owner])
-        key = mixed(total[used] ^ mixed(part ^ (in_class[owner].astype(np.uint64) << np.uint64(48))))
-        bit = (in_class & 1).astype(np.uint64)
-        where.append(owner)
-        out.append((key & ~np.uint64(1)) | bit[owner])
-        count = np.bincount(owner, minlength=len(sets))
-        spare[entered, in_class[entered] & 1] = (count - differing(size, last[in_class], similarity) - 1)[entered]
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), spare
-    return np.concatenate(where), np.concatenate(out), spare
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in slices(batches):
+            sets = distinct_shingles(as_bytes(batch.column(0)), width)
+            np.add.at(total, counter_of(np.concatenate(sets)), 1)
+        for at in range(0, COUNTERS, SEGMENT):
+            part = total[at : at + SEGMENT]
+            if part.any():
+                data = pa.compress(part.astype("<i8").tobytes(), codec="zstd", asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([data], pa.binary())], names=["at", "data"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, data in zip(*(batch.column(c).to_pylist() for c in ("at", "data")), strict=True):
+                part = np.frombuffer(pa.decompress(data, 8 * SEGMENT, codec="zstd", asbytes=True), "<i8")
+                total[at] = total[at] + part if at in total else part
+        for at, part in total.items():
+            data = (256 * np.log2(1.0 + part)).astype("<u2").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([data], pa.binary())], names=["at", "data"])
+
+    arrow_rows(bodies.sparkSession)
+    parts = bodies.select("body").mapInArrow(count, "at int, data binary")
+    out = np.zeros(COUNTERS, np.uint16)
+    for r in parts.repartition("at").mapInArrow(add, "at int, data binary").collect():  # COUNTERS / SEGMENT rows
+        out[r["at"] : r["at"] + SEGMENT] = np.frombuffer(r["data"], "<u2")
+    return out
+
+
+def first_shingles(shingles: np.ndarray, level: np.ndarray, similarity: float) -> np.ndarray:
+    """Those of a text's distinct shingles, rare ones first, that it must be entered under.
+
+    Of n shingles a similar text has ``similarity * n`` at least, so it cannot miss all of the first
+    n - ceil(similarity * n) + 1. Both texts take theirs in the same order, so the first shingle that
+    they have in common is among these of each.
+    """
+    order = np.lexsort((mixed(shingles), level[counter_of(shingles)]))
+    return shingles[order[: len(order) - int(np.ceil(similarity * len(order) - 1e-6)) + 1]]
 
 
 def signed_texts(docs: DataFrame, text_col: str, keep: list[str], names: list[str], width: int) -> DataFrame:
@@ -394,52 +379,58 @@ def signed_texts(docs: DataFrame, text_col: str, keep: list[str], names: list[st
     return rows.mapInArrow(run, f"{fields}, whole long, other long, fp long")
 
 
-def shingle_sets(rows: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(node, body) -> (node, shingles, size, even, odd): the distinct shingle hashes of each text, and the keys it can spare."""
+def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
+    """(node, body) -> (node, shingles, size): the distinct shingle hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            sets = [np.unique(shingle_hashes(t.lower().split(), width)) for t in as_bytes(batch.column(1))]
-            spare = part_keys(sets, similarity)[2]
-            cols = [batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int64()), pa.array(spare[:, 0]), pa.array(spare[:, 1])]
-            yield pa.RecordBatch.from_arrays(cols, names=["node", "shingles", "size", "even", "odd"])
+            sets = distinct_shingles(as_bytes(batch.column(1)), width)
+            cols = [batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "shingles", "size"])
 
     arrow_rows(rows.sparkSession)
-    return rows.select("node", "body").mapInArrow(run, "node long, shingles array<long>, size long, even long, odd long")
+    return rows.select("node", "body").mapInArrow(run, "node long, shingles array<long>, size long")
 
 
 def shared_keys(bodies: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(key, node): the shingle keys that two or more of the texts (node, body) are entered under.
+    """(key, node, place, size): the shingles that two or more of the texts (node, body) are entered under.
 
-    One shuffle of (key, node); a task reads its keys in order and holds one row at a time.
+    ``place`` (from 1) is the shingle's among all of the text in their order, ``size`` their number.
+    One shuffle of the entries; a task reads its keys in order and holds one batch at a time.
     """
+    level = bodies.sparkSession.sparkContext.broadcast(levels(bodies, width))  # COUNTERS short numbers
+    names, fields = ["key", "node", "place", "size"], "key long, node long, place int, size int"
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [np.unique(shingle_hashes(t.lower().split(), width)) for t in as_bytes(batch.column(1))]
-            where, found, _ = part_keys(sets, similarity)
-            node = batch.column(0).to_numpy()[where]
-            for at in range(0, len(node), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(found[at : at + (1 << 16)].view(np.int64)), pa.array(node[at : at + (1 << 16)])], names=["key", "node"])
+            sets = distinct_shingles(as_bytes(batch.column(1)), width)
+            found = [first_shingles(x, level.value, similarity) if len(x) else x for x in sets]
+            many = np.array([len(x) for x in found], np.int64)
+            node = np.repeat(batch.column(0).to_numpy(), many)
+            size = np.repeat(np.array([len(x) for x in sets], np.int32), many)
+            place = np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in many])
+            key = np.concatenate(found).view(np.int64)
+            for at in range(0, len(key), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (key, node, place, size)], names=names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int] | None = None  # the row before this batch, if it has not been sent
-        before: int | None = None  # its key
+        held: pa.RecordBatch | None = None  # the last row before this batch
+        sent = True  # whether it has been sent
         for batch in batches:
-            key, node = (batch.column(c).to_numpy() for c in ("key", "node"))
+            key = batch.column("key").to_numpy()
             if not len(key):
                 continue
             same = key[1:] == key[:-1]
-            joins = np.append(key[0] == before, same) if before is not None else np.append(False, same)
+            joins = np.append(held is not None and held.column("key")[0].as_py() == key[0], same)
             send = joins | np.append(same, False)
-            if joins[0] and last is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], names=["key", "node"])
-            yield pa.RecordBatch.from_arrays([pa.array(key[send]), pa.array(node[send])], names=["key", "node"])
-            before, last = int(key[-1]), None if send[-1] else (int(key[-1]), int(node[-1]))
+            if joins[0] and not sent:
+                yield held
+            yield batch.filter(pa.array(send))
+            held, sent = pa.RecordBatch.from_arrays([batch.column(c).take(pa.array([len(key) - 1])) for c in names], names=names), bool(send[-1])
 
     arrow_rows(bodies.sparkSession)
-    entered = bodies.select("node", "body").mapInArrow(enter, "key long, node long")
-    return entered.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "key long, node long")
+    entered = bodies.select("node", "body").mapInArrow(enter, fields)
+    return entered.repartition("key").sortWithinPartitions("key").mapInArrow(meet, fields)
 
 
 def is_similar(a: Column, b: Column, similarity: float) -> Column:
@@ -460,42 +451,31 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scra
 def similar_classes(members: DataFrame, sets: DataFrame, seeds: DataFrame | None, similarity: float, scratch: Scratch) -> DataFrame:
     """(node, root) for every text that is similar to another one, or by way of others.
 
-    ``members`` has the shingle keys (key, node) that meet, ``sets`` the shingles of their texts and
-    what they can spare, ``seeds`` pairs (a, b) known to be similar. A text leaves the keys that more
-    than COMMON texts have, if it can spare them: common passages, mostly. In groups of more than
-    GROUP texts that are left, texts are compared with one of them (first the one that shares most keys), for up to LEADS
+    ``members`` has the shingles (key, node, place, size) that texts are entered under, ``sets`` the
+    shingles of these texts, ``seeds`` pairs (a, b) known to be similar. In groups of more than GROUP
+    texts, texts are compared with one of them (first the one that shares most keys), for up to LEADS
     rounds, or until a round links nothing; what has been linked need not be compared again. All
-    others of a group meet in pairs, large groups by pairs of blocks; and pairs are compared that
-    share as many keys as similar texts must.
+    others of a group meet in pairs, large groups by pairs of blocks; and pairs are compared that,
+    by their places, may have that shingle as the first in common.
     """
-    bit = F.col("key").bitwiseAND(F.lit(1).cast("long"))
-    spare = sets.select(F.col("node"), F.col("size"), F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("bit"), F.col(c).alias("spare")) for k, c in enumerate(("even", "odd"))))).alias("s")).select("node", "size", "s.*")
-    sizes = members.groupBy("key").agg((F.count("*") > COMMON).alias("large"))
-    told = scratch.table(members.select("key", "node", bit.alias("bit")).join(sizes, "key"), "told")
-    per = told.groupBy("node", "bit").agg(F.sum(F.col("large").cast("long")).alias("left_out"))
-    per = per.join(spare, ["node", "bit"]).withColumn("leaves", F.col("left_out") <= F.col("spare"))
-    # keys that a text still shares with a similar one: all but those that differences may take, less those that either may have left
-    per = per.withColumn("least", F.greatest(F.lit(1).cast("long"), F.col("spare") + 1 - F.col("left_out")))
-    per = scratch.table(per.select("node", "bit", "size", "leaves", "least"), "per")
-    members = scratch.table(told.join(per.select("node", "bit", "leaves"), ["node", "bit"]).filter(~(F.col("large") & F.col("leaves"))).select("key", "node"), "members")
-    scratch.drop(told)
-    nodes = scratch.table(members.groupBy("node").agg(F.count("*").alias("shares")).join(per.groupBy("node").agg(F.max("size").alias("size")), "node"), "nodes")
     none = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     similar = scratch.table(none if seeds is None else seeds, "similar")
     linked = components(similar, scratch)
+    shares = scratch.table(members.groupBy("node").agg(F.count("*").alias("shares")), "shares")
+    now: DataFrame | None = None
     for turn in range(LEADS + 1):
-        rooted = nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        now = scratch.table(members.select("key", "node").join(rooted, "node"), "members")
+        roots = shares.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = scratch.table((members if now is None else now).select("key", "node", "place", "size").join(roots, "node"), "members")
+        scratch.drop(now)
         first = F.struct((F.lit(0).cast("long") if turn else -F.col("shares")).alias("shares"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root", "size")
-        groups = now.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(first).alias("lead"))
+        groups = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(first).alias("lead"))
         groups = groups.filter("low <> high").select("key", "n", F.col("lead.node").alias("lead"), F.col("lead.root").alias("lead_root"), F.col("lead.size").alias("lead_size"))
-        left = scratch.table(now.join(groups, "key"), "members")
-        scratch.drop(now, members)
-        members = left
+        now = scratch.table(rooted.join(groups, "key"), "members")
+        scratch.drop(rooted)
         large = F.col("n") > GROUP
-        if turn == LEADS or members.filter(large).isEmpty():
+        if turn == LEADS or now.filter(large).isEmpty():
             break
-        pairs = members.filter(large & (F.col("root") != F.col("lead_root")) & near_in_size("size", "lead_size", similarity))
+        pairs = now.filter(large & (F.col("root") != F.col("lead_root")) & (F.least("size", "lead_size") >= shared(F.col("size"), F.col("lead_size"), similarity)))
         found = verified(pairs.select(F.col("node").alias("a"), F.col("lead").alias("b")), sets, similarity, scratch)
         if found.isEmpty():
             break
@@ -503,24 +483,24 @@ def similar_classes(members: DataFrame, sets: DataFrame, seeds: DataFrame | None
         scratch.drop(similar, linked, found)
         similar, linked = more, components(more, scratch)
     blocks = F.ceil(F.col("n") / GROUP).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = now.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "size")
-    a, b = (dealt.select("key", "i", "j", *(F.col(c).alias(f"{c}_{x}") for c in ("own", "node", "root", "size"))) for x in "ab")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "place", "size")
+    a, b = (dealt.select("key", "i", "j", *(F.col(c).alias(f"{c}_{x}") for c in ("own", "node", "root", "place", "size"))) for x in "ab")
     once = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & ((F.col("own_a") != F.col("own_b")) | (F.col("i") == F.col("j")))
-    met = a.join(b, ["key", "i", "j"]).filter(once & near_in_size("size_a", "size_b", similarity))
-    met = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), bit.alias("bit")).agg(F.count("*").alias("shared"))
-    for x in "ab":
-        met = met.join(per.select(F.col("node").alias(x), "bit", F.col("least").alias(f"least_{x}")), [x, "bit"])
-    met = met.filter("shared >= least_a AND shared >= least_b")
-    similar = scratch.table(similar.unionAll(verified(met, sets, similarity, scratch)), "similar")
-    out = components(similar, scratch)
-    scratch.drop(nodes, similar, members, linked, per)
+    least = shared(F.col("size_a"), F.col("size_b"), similarity)
+    may = (F.col("size_a") - F.col("place_a") + 1 >= least) & (F.col("size_b") - F.col("place_b") + 1 >= least)
+    met = a.join(b, ["key", "i", "j"]).filter(once & may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    found = verified(met, sets, similarity, scratch)
+    more = scratch.table(similar.unionAll(found), "similar")
+    out = components(more, scratch)
+    scratch.drop(shares, similar, more, found, now, linked)
     return out
 
 
-def near_in_size(a: str, b: str, similarity: float) -> Column:
-    return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - F.lit(1e-6)
+def shared(a: Column, b: Column, similarity: float) -> Column:
+    """How many shingles similar texts of so many share at least."""
+    return (a + b) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
 
 
 def in_the_middle(linked: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
@@ -593,7 +573,7 @@ def staying(linked: DataFrame, texts: DataFrame, members: DataFrame, sets: DataF
         near = verified(pairs, sets, similarity, scratch)
         met = near.select(F.col("a").alias("node")).unionAll(near.select(F.col("b").alias("node"))).unionAll(leads.select(F.col("lead").alias("node")))
         rest = scratch.table(large.select("node").join(met.distinct(), "node", "left_anti"), "rest")
-        still = scratch.table(members.select("key", "node").join(rest, "node", "left_semi"), "members")
+        still = scratch.table(members.join(rest, "node", "left_semi"), "members")
         scratch.drop(sized, leads, near)
         linked = similar_classes(still, sets, None, similarity, scratch)
         alone = rest.join(linked, "node", "left_anti").select("node")
@@ -623,7 +603,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bodies = rows.select(F.col("row").alias("node"), body.cast("string").alias("body")).join(texts.select("node"), "node", "left_semi")
         bodies = scratch.table(bodies, "bodies")
         members = scratch.table(shared_keys(bodies, width, similarity), "keys")
-        sets = scratch.table(shingle_sets(bodies.join(members.select("node").distinct(), "node", "left_semi"), width, similarity), "sets")
+        sets = scratch.table(shingle_sets(bodies.join(members.select("node").distinct(), "node", "left_semi"), width), "sets")
         fps = texts.select("node", "fp")
         n, both = bit_counts(fps)
         seeds = verified(links(fps, plan(n, both, NEAR_BITS), NEAR_BITS, scratch), sets, similarity, scratch)
