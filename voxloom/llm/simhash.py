@@ -12,7 +12,7 @@ A large group is dealt out as pairs of blocks, none of which is more than one ta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -293,6 +293,8 @@ NEAR_BITS = 3
 GROUP, LEADS = 256, 3
 #: Counters (a power of two) of the sketch that puts shingles in order, and how many of them a row of it holds.
 COUNTERS, SEGMENT = 1 << 22, 1 << 16
+#: From a table of nodes to their texts' distinct shingles (node, shingles, size).
+Sets = Callable[[DataFrame], DataFrame]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -438,21 +440,23 @@ def is_similar(a: Column, b: Column, similarity: float) -> Column:
     return both >= F.lit(similarity) * (F.size(a) + F.size(b) - both)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """Those of the pairs (a, b) whose texts' shingles (node, shingles) are similar."""
+def verified(pairs: DataFrame, sets: Sets, similarity: float, scratch: Scratch) -> DataFrame:
+    """Those of the pairs (a, b) whose texts' shingles are similar. Only shingles of texts in a pair are moved."""
     pairs = scratch.table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    few = scratch.table(sets(ends), "sets")
+    left, right = (few.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
     like = pairs.join(left, "a").join(right, "b").filter(is_similar(F.col("of_a"), F.col("of_b"), similarity))
     out = scratch.table(like.select("a", "b"), "similar")
-    scratch.drop(pairs)
+    scratch.drop(pairs, few)
     return out
 
 
-def similar_classes(members: DataFrame, sets: DataFrame, seeds: DataFrame | None, similarity: float, scratch: Scratch) -> DataFrame:
+def similar_classes(members: DataFrame, sets: Sets, seeds: DataFrame | None, similarity: float, scratch: Scratch) -> DataFrame:
     """(node, root) for every text that is similar to another one, or by way of others.
 
-    ``members`` has the shingles (key, node, place, size) that texts are entered under, ``sets`` the
-    shingles of these texts, ``seeds`` pairs (a, b) known to be similar. In groups of more than GROUP
+    ``members`` has the shingles (key, node, place, size) that texts are entered under, ``sets``
+    gives the shingles of texts, ``seeds`` are pairs (a, b) known to be similar. In groups of more than GROUP
     texts, texts are compared with one of them (first the one that shares most keys), for up to LEADS
     rounds, or until a round links nothing; what has been linked need not be compared again. All
     others of a group meet in pairs, large groups by pairs of blocks; and pairs are compared that,
@@ -503,10 +507,11 @@ def shared(a: Column, b: Column, similarity: float) -> Column:
     return (a + b) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
 
 
-def in_the_middle(linked: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
+def in_the_middle(linked: DataFrame, texts: DataFrame, sets: Sets, scratch: Scratch) -> DataFrame:
     """(root, lead): of each class (node, root) the text that differs least from the shingles that over half of its
     texts have, ties by ``low``."""
-    rows = linked.join(sets.select("node", "shingles", "size"), "node")
+    few = scratch.table(sets(linked.select("node")), "sets")
+    rows = linked.join(few, "node")
     each = rows.select("root", "node", F.explode("shingles").alias("shingle"))
     n = linked.groupBy("root").agg(F.count("*").alias("n"))
     major = each.groupBy("root", "shingle").agg(F.count("*").alias("c")).join(n, "root").filter(F.col("c") * 2 > F.col("n")).select("root", "shingle")
@@ -515,7 +520,9 @@ def in_the_middle(linked: DataFrame, texts: DataFrame, sets: DataFrame) -> DataF
     far = F.col("size") - 2 * F.coalesce("both", F.lit(0))
     told = rows.select("root", "node", "size").join(both, "node", "left").join(texts.select("node", "low"), "node")
     first = told.groupBy("root").agg(F.min(F.struct(far.alias("far"), "low", "node")).alias("first"))
-    return first.select("root", F.col("first.node").alias("lead"))
+    out = scratch.table(first.select("root", F.col("first.node").alias("lead")), "leads")
+    scratch.drop(few)
+    return out
 
 
 def is_alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -527,13 +534,13 @@ def is_alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def apart(classes: DataFrame, texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def apart(classes: DataFrame, texts: DataFrame, sets: Sets, similarity: float) -> DataFrame:
     """(node) of texts of each class (node, root) no two of which are similar, while all others are similar to one of them.
 
     They are taken in order of their difference from the shingles that over half of the class have,
     ties by ``low`` (of two texts the one with the smaller ``low`` is taken). A class is held in one task and has GROUP texts at most.
     """
-    rows = classes.join(texts.select("node", "low.*"), "node").join(sets.select("node", "shingles"), "node")
+    rows = classes.join(texts.select("node", "low.*"), "node")
 
     def run(table: pa.Table) -> pa.Table:
         low = list(zip(*(table.column(c).to_pylist() for c in ("no_id", "id", "row")), strict=True))
@@ -548,11 +555,12 @@ def apart(classes: DataFrame, texts: DataFrame, sets: DataFrame, similarity: flo
         return pa.table({"node": table.column("node").take(pa.array(kept))})
 
     two = rows.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("no_id", "id", "row", "node"))["node"].alias("node"))
-    more = rows.join(two.filter("n > 2").select("root"), "root", "left_semi").groupBy("root").applyInArrow(run, "node long")
+    larger = rows.join(two.filter("n > 2").select("root"), "root", "left_semi")
+    more = larger.join(sets(larger.select("node")).select("node", "shingles"), "node").groupBy("root").applyInArrow(run, "node long")
     return two.filter("n <= 2").select("node").unionAll(more)
 
 
-def staying(linked: DataFrame, texts: DataFrame, members: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+def staying(linked: DataFrame, texts: DataFrame, members: DataFrame, sets: Sets, similarity: float, scratch: Scratch) -> DataFrame:
     """(node) of the texts of all classes (node, root) that stay: no two are similar, and all others are similar to one.
 
     A class of more than GROUP texts is first compared with the text in its middle, and what is not
@@ -567,7 +575,7 @@ def staying(linked: DataFrame, texts: DataFrame, members: DataFrame, sets: DataF
         large = sized.filter(F.col("n") > GROUP).drop("n")
         if large.isEmpty():
             return stay
-        leads = scratch.table(in_the_middle(large, texts, sets), "leads")
+        leads = in_the_middle(large, texts, sets, scratch)
         stay = scratch.table(stay.unionAll(leads.select(F.col("lead").alias("node"))), "stay")
         pairs = large.join(leads, "root").filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
         near = verified(pairs, sets, similarity, scratch)
@@ -603,7 +611,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bodies = rows.select(F.col("row").alias("node"), body.cast("string").alias("body")).join(texts.select("node"), "node", "left_semi")
         bodies = scratch.table(bodies, "bodies")
         members = scratch.table(shared_keys(bodies, width, similarity), "keys")
-        sets = scratch.table(shingle_sets(bodies.join(members.select("node").distinct(), "node", "left_semi"), width), "sets")
+
+        def sets(nodes: DataFrame) -> DataFrame:
+            return shingle_sets(bodies.join(nodes, "node", "left_semi"), width)
+
         fps = texts.select("node", "fp")
         n, both = bit_counts(fps)
         seeds = verified(links(fps, plan(n, both, NEAR_BITS), NEAR_BITS, scratch), sets, similarity, scratch)
