@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from voxloom.operators import clusterquality
 from voxloom.streaming.kmeans import IncrementalKMeans
 
-#: Ward's agglomeration holds all distances of its rows in one task; more rows are refused.
-WARD_ROWS = 5_000
+#: Distances that Ward's agglomeration holds at a time.
+WARD_CELLS = 1 << 21
 
 
 def with_features(rows: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -90,34 +91,74 @@ class MiniBatchKMeansDiscovery:
         return out
 
 
+def nearest(queries: np.ndarray, alive: np.ndarray, centres: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each query (a place in ``centres``) the other cluster alive whose union with it adds the least variance, and that gain."""
+    points, square, size = centres[alive], (centres[alive] ** 2).sum(axis=1), sizes[alive]
+    near, step = np.empty(len(queries), np.int64), max(1, WARD_CELLS // len(alive))
+    for at in range(0, len(queries), step):
+        q = queries[at : at + step]
+        gain = centres[q] @ points.T
+        gain *= -2
+        gain += square
+        gain += (centres[q] ** 2).sum(axis=1)[:, None]
+        if sizes[q].max() > 1 or size.max() > 1:
+            gain *= size
+            gain /= size + sizes[q][:, None]
+        gain[np.arange(len(q)), np.searchsorted(alive, q)] = np.inf
+        near[at : at + step] = alive[gain.argmin(axis=1)]
+    # the sum of squares above loses digits, so gains that are compared between queries come from differences
+    apart = ((centres[queries] - centres[near]) ** 2).sum(axis=1)
+    return near, sizes[queries] * sizes[near] / (sizes[queries] + sizes[near]) * apart
+
+
+def ward_merges(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of clusters, each named by its first row, in the order in which Ward's agglomeration joins them.
+
+    Two clusters that are each other's nearest are joined at once, many in a round: a union of others is never nearer
+    than both were, so the tree is that of joining the nearest pair each time. What has neither changed nor lost its
+    nearest keeps it. Equal rows are joined first. Memory is linear in the rows, time quadratic.
+    """
+    _, first, which = np.unique(x, axis=0, return_index=True, return_inverse=True)
+    lead = first[which.reshape(-1)]
+    again = np.nonzero(lead != np.arange(len(x)))[0]
+    again = again[np.argsort(lead[again], kind="stable")]
+    into, gone, heights = [lead[again]], [again], [np.zeros(len(again))]
+    centres, sizes, height = x - x.mean(axis=0), np.bincount(lead, minlength=len(x)).astype(float), np.zeros(len(x))
+    alive, near, gain = np.sort(first), np.zeros(len(x), np.int64), np.zeros(len(x))
+    stale = alive
+    while len(alive) > 1:
+        near[stale], gain[stale] = nearest(stale, alive, centres, sizes)
+        a = alive[(near[near[alive]] == alive) & (alive < near[alive])]
+        if not len(a):  # only where rounding hides the nearest pair
+            a = alive[[gain[alive].argmin()]]
+        a, b = np.minimum(a, near[a]), np.maximum(a, near[a])
+        height[a] = np.maximum(gain[a], np.maximum(height[a], height[b]))  # never below its parts
+        into.append(a), gone.append(b), heights.append(height[a])
+        centres[a] = (sizes[a][:, None] * centres[a] + sizes[b][:, None] * centres[b]) / (sizes[a] + sizes[b])[:, None]
+        sizes[a] += sizes[b]
+        changed = np.zeros(len(x), bool)
+        changed[a] = changed[b] = True
+        alive = alive[~np.isin(alive, b)]
+        stale = alive[changed[alive] | changed[near[alive]]]
+    order = np.argsort(np.concatenate(heights), kind="stable")
+    return np.concatenate(into)[order], np.concatenate(gone)[order]
+
+
 def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
     """Labels 0 to k-1, by first member, after joining the two clusters whose union adds the least variance until k are left."""
-    n = len(x)
-    members, sizes, centres = [[i] for i in range(n)], np.ones(n), x.astype(float).copy()
-    alive = np.ones(n, bool)
-    square = (x**2).sum(axis=1)
-    gain = np.maximum(square[:, None] + square[None] - 2 * x @ x.T, 0) / 2
-    np.fill_diagonal(gain, np.inf)
-    for _ in range(max(0, n - k)):
-        i, j = divmod(int(gain.argmin()), n)
-        i, j = min(i, j), max(i, j)
-        centres[i] = (sizes[i] * centres[i] + sizes[j] * centres[j]) / (sizes[i] + sizes[j])
-        sizes[i] += sizes[j]
-        members[i] += members[j]
-        alive[j] = False
-        gain[j], gain[:, j] = np.inf, np.inf
-        row = sizes * sizes[i] / (sizes + sizes[i]) * ((centres - centres[i]) ** 2).sum(axis=1)
-        row[~alive] = np.inf
-        row[i] = np.inf
-        gain[i], gain[:, i] = row, row
-    labels = np.empty(n, np.int64)
-    for c, i in enumerate(sorted(np.nonzero(alive)[0], key=lambda i: min(members[i]))):
-        labels[members[i]] = c
-    return labels
+    into, gone = ward_merges(x.astype(float))
+    up, joins = np.arange(len(x)), max(0, len(x) - k)
+    up[gone[:joins]] = into[:joins]
+    while ((top := up[up]) != up).any():
+        up = top
+    return np.unique(up, return_inverse=True)[1].reshape(-1).astype(np.int64)
 
 
 class AgglomerativeDiscovery:
-    """Ward's agglomeration of up to WARD_ROWS rows; it has no labels for rows it was not fitted on."""
+    """Ward's agglomeration of all rows, exactly; it has no labels for rows it was not fitted on.
+
+    The driver holds the vectors (8 bytes a component) and no distances but a few rows of them.
+    """
 
     streams = False
 
@@ -126,21 +167,22 @@ class AgglomerativeDiscovery:
         self.labels: DataFrame | None = None
 
     def fit(self, rows: DataFrame) -> AgglomerativeDiscovery:
-        got = rows.select("file_id", "segment_id", "embedding").orderBy("file_id", "segment_id").limit(WARD_ROWS + 1).toPandas()
-        if len(got) > WARD_ROWS:
-            raise ValueError(f"agglomerative clustering takes {WARD_ROWS} rows at most; use kmeans")
-        if len(got):
-            got["cluster_label"] = ward_labels(np.stack([np.asarray(v, float) for v in got["embedding"]]), min(self.n_clusters, len(got)))
-        else:
-            got["cluster_label"] = []
-        self.labels = rows.sparkSession.createDataFrame(got[["file_id", "segment_id", "cluster_label"]].astype("int64"), "file_id long, segment_id long, cluster_label long")
+        got = rows.select("file_id", "segment_id", F.col("embedding").cast("array<double>").alias("embedding")).orderBy("file_id", "segment_id").toArrow()
+        labels = np.zeros(0, np.int64)
+        if got.num_rows:
+            vectors = got.column("embedding").combine_chunks()
+            if vectors.null_count or len(set(vectors.value_lengths().to_pylist())) > 1:
+                raise ValueError("agglomerative clustering needs vectors of one length")
+            labels = ward_labels(vectors.flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, -1), min(self.n_clusters, got.num_rows))
+        told = pd.DataFrame({c: got.column(c).to_numpy() for c in ("file_id", "segment_id")} | {"cluster_label": labels})
+        self.labels = rows.sparkSession.createDataFrame(told.astype("int64"), "file_id long, segment_id long, cluster_label long")
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
         if self.labels is None:
             raise RuntimeError("fit first")
         unknown = F.raise_error(F.lit("agglomerative clustering has no label for this row")).cast("int")
-        out = rows.join(F.broadcast(self.labels), ["file_id", "segment_id"], "left")  # WARD_ROWS rows at most
+        out = rows.join(self.labels, ["file_id", "segment_id"], "left")
         return out.withColumn("cluster_label", F.coalesce(F.col("cluster_label").cast("int"), unknown))
 
     def save(self, path: str) -> None:
