@@ -383,3 +383,20 @@ def test_toxicity_messy(spark, messy):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode() if r["doc_id"] is not None else b"") % 5 == 0) for r in rows)
     assert toxicity.toxicity(messy.limit(0), labels.limit(0)).count() == 0
     assert toxicity.filter_documents(messy, labels.limit(0)).columns == messy.columns
+
+
+def test_marks_leave_all_similar_texts():
+    """Marks never tell similar texts apart, whatever their sizes, and tell nearly all others."""
+    rng = np.random.default_rng(5)
+    told = 0
+    for turn in range(600):
+        n = int(rng.integers(1, 700))
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        cut = int(rng.integers(0, n // 4 + 1))
+        b = np.concatenate([a[cut:], rng.integers(0, 1 << 63, int(rng.integers(0, n // 8 + 1)), dtype=np.uint64)])
+        other = rng.integers(0, 1 << 63, len(b), dtype=np.uint64)
+        marks = [simhash.mark_of(x) for x in (a, b, other)]
+        if simhash.is_alike(np.sort(a), np.sort(b), 0.8):
+            assert simhash.may_be_similar(marks[0], marks[1], len(a) + len(b), 0.8) and simhash.may_be_similar(marks[1], marks[0], len(a) + len(b), 0.8)
+        told += simhash.may_be_similar(marks[0], marks[2], len(a) + len(b), 0.8)
+    assert told < 30

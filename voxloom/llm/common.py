@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -90,6 +92,13 @@ def as_bytes(values: pa.Array) -> list[bytes]:
     return [x or b"" for x in values.cast(pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_column(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 

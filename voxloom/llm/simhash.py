@@ -308,6 +308,25 @@ def distinct_shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
     return [np.unique(shingle_hashes(t.lower().split(), width)) for t in texts]
 
 
+def mark_of(shingles: np.ndarray) -> bytes:
+    """The parities of how many distinct shingles fall to each of m places, m a power of two not below their number.
+
+    The marks of two texts, XORed, are the mark of what only one of them has, so the bits set are no more than that.
+    """
+    m = max(64, 1 << (max(len(shingles), 1) - 1).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1, bitorder="little").tobytes()
+
+
+def may_be_similar(a: bytes, b: bytes, size: int, similarity: float) -> bool:
+    """False only for marks of texts (of ``size`` distinct shingles in all) that are not similar; the longer mark is folded."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, y, half = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 4 * len(a)
+    while half >= 8 * len(b):
+        x, half = (x >> half) ^ (x & ((1 << half) - 1)), half // 2
+    return (x ^ y).bit_count() <= size * (1 - similarity) / (1 + similarity) + 1e-6
+
+
 def counter_of(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
@@ -361,7 +380,7 @@ def first_shingles(shingles: np.ndarray, level: np.ndarray, similarity: float) -
 
 
 def signed_texts(docs: DataFrame, text_col: str, keep: list[str], names: list[str], width: int) -> DataFrame:
-    """The columns ``keep`` as ``names``, two hashes of the words in order, and the fingerprint of the distinct shingles."""
+    """The columns ``keep`` as ``names``, two hashes of the words in order, and of the distinct shingles the fingerprint, number and mark."""
     from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
     rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)), F.col(f"`{text_col}`").cast("string").alias("body"))
@@ -370,15 +389,18 @@ def signed_texts(docs: DataFrame, text_col: str, keep: list[str], names: list[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found: list[tuple[int, int, int]] = []
+            sizes, marks = [], []
             for text in as_bytes(batch.column(len(names))):
                 words = text.lower().split()
                 joined, shingles = b" ".join(words), np.unique(shingle_hashes(words, width))
                 found.append((xxh3_64_intdigest(joined), xxh64_intdigest(joined, SEED), int.from_bytes(majority(shingles), "little") if len(shingles) else 0))
+                sizes.append(len(shingles))
+                marks.append(mark_of(shingles))
             hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in zip(*found, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *hashes], names=[*names, "whole", "other", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *hashes, pa.array(sizes, pa.int32()), pa.array(marks, pa.binary())], names=[*names, "whole", "other", "fp", "size", "mark"])
 
     arrow_rows(docs.sparkSession)
-    return rows.mapInArrow(run, f"{fields}, whole long, other long, fp long")
+    return rows.mapInArrow(run, f"{fields}, whole long, other long, fp long, size int, mark binary")
 
 
 def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
@@ -440,9 +462,24 @@ def is_similar(a: Column, b: Column, similarity: float) -> Column:
     return both >= F.lit(similarity) * (F.size(a) + F.size(b) - both)
 
 
-def verified(pairs: DataFrame, sets: Sets, similarity: float, scratch: Scratch) -> DataFrame:
-    """Those of the pairs (a, b) whose texts' shingles are similar. Only shingles of texts in a pair are moved."""
-    pairs = scratch.table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+def close(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) that are similar as far as marks (node, size, mark) tell: all that are, and few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("mark_a", "mark_b", "size")), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([may_be_similar(x, y, n, similarity) for x, y, n in rows], pa.bool_()))
+
+    left, right = (marks.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("mark").alias(f"mark_{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "mark_a", "mark_b", (F.col("size_a") + F.col("size_b")).alias("size"))
+    arrow_rows(pairs.sparkSession)
+    return both.mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, sets: Sets, marks: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Those of the pairs (a, b) whose texts' shingles are similar. Only shingles of texts in a pair that marks leave are moved."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = scratch.table(close(pairs, marks, similarity), "pairs")
     ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     few = scratch.table(sets(ends), "sets")
     left, right = (few.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
@@ -452,11 +489,51 @@ def verified(pairs: DataFrame, sets: Sets, similarity: float, scratch: Scratch)
     return out
 
 
-def similar_classes(members: DataFrame, sets: Sets, seeds: DataFrame | None, similarity: float, scratch: Scratch) -> DataFrame:
+def met_pairs(dealt: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts with different roots that meet in a group (key, i, j), by their places may have that key as
+    the first in common, and may be similar by their marks. ``dealt`` has own, node, root, place, size and mark beside."""
+    group, names = ["key", "i", "j"], ["key", "i", "j", "own", "node", "root", "place", "size", "mark"]
+
+    def compare(cols: dict[str, np.ndarray]) -> pa.RecordBatch:
+        change = np.any([cols[c][1:] != cols[c][:-1] for c in group], axis=0)
+        ends = np.append(np.nonzero(change)[0] + 1, len(change) + 1)
+        begins = np.append(0, ends[:-1])
+        node, root, own, place, size, mark = (cols[c] for c in ("node", "root", "own", "place", "size", "mark"))
+        inside, left = cols["i"] == cols["j"], size - place + 1
+
+        def may(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            least = (size[a] + size[b]) * (similarity / (1 + similarity)) - 1e-6
+            ok = (node[a] != node[b]) & (root[a] != root[b]) & ((own[a] != own[b]) | inside[a]) & (np.minimum(left[a], left[b]) >= least)
+            return a[ok], b[ok]
+
+        two = begins[ends - begins == 2]
+        found = [may(two, two + 1)]
+        for x, y in zip(begins, ends, strict=True):
+            if y - x > 2:
+                a, b = np.triu_indices(y - x, 1)
+                found.append(may(a + x, b + x))
+        told: dict[tuple[int, int], bool] = {}
+        for a, b in found:
+            for p, q in zip(a.tolist(), b.tolist(), strict=True):
+                pair = (int(node[p]), int(node[q]))
+                if pair not in told:
+                    told[pair] = may_be_similar(mark[p], mark[q], int(size[p]) + int(size[q]), similarity)
+        pairs = np.array([pair for pair, ok in told.items() if ok], np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in whole_groups(batches, group):
+            yield compare(cols)
+
+    arrow_rows(dealt.sparkSession)
+    return dealt.select(*names).repartition(*group).sortWithinPartitions(*group, "node").mapInArrow(run, "a long, b long")
+
+
+def similar_classes(members: DataFrame, sets: Sets, marks: DataFrame, seeds: DataFrame | None, similarity: float, scratch: Scratch) -> DataFrame:
     """(node, root) for every text that is similar to another one, or by way of others.
 
     ``members`` has the shingles (key, node, place, size) that texts are entered under, ``sets``
-    gives the shingles of texts, ``seeds`` are pairs (a, b) known to be similar. In groups of more than GROUP
+    gives the shingles of texts, ``marks`` (node, size, mark) their marks, ``seeds`` are pairs (a, b) known to be similar. In groups of more than GROUP
     texts, texts are compared with one of them (first the one that shares most keys), for up to LEADS
     rounds, or until a round links nothing; what has been linked need not be compared again. All
     others of a group meet in pairs, large groups by pairs of blocks; and pairs are compared that,
@@ -480,7 +557,7 @@ def similar_classes(members: DataFrame, sets: Sets, seeds: DataFrame | None, sim
         if turn == LEADS or now.filter(large).isEmpty():
             break
         pairs = now.filter(large & (F.col("root") != F.col("lead_root")) & (F.least("size", "lead_size") >= shared(F.col("size"), F.col("lead_size"), similarity)))
-        found = verified(pairs.select(F.col("node").alias("a"), F.col("lead").alias("b")), sets, similarity, scratch)
+        found = verified(pairs.select(F.col("node").alias("a"), F.col("lead").alias("b")), sets, marks, similarity, scratch)
         if found.isEmpty():
             break
         more = scratch.table(similar.unionAll(found), "similar")
@@ -490,12 +567,8 @@ def similar_classes(members: DataFrame, sets: Sets, seeds: DataFrame | None, sim
     dealt = now.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "place", "size")
-    a, b = (dealt.select("key", "i", "j", *(F.col(c).alias(f"{c}_{x}") for c in ("own", "node", "root", "place", "size"))) for x in "ab")
-    once = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & ((F.col("own_a") != F.col("own_b")) | (F.col("i") == F.col("j")))
-    least = shared(F.col("size_a"), F.col("size_b"), similarity)
-    may = (F.col("size_a") - F.col("place_a") + 1 >= least) & (F.col("size_b") - F.col("place_b") + 1 >= least)
-    met = a.join(b, ["key", "i", "j"]).filter(once & may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    found = verified(met, sets, similarity, scratch)
+    met = met_pairs(dealt.join(marks.select("node", "mark"), "node"), similarity)
+    found = verified(met, sets, marks, similarity, scratch)
     more = scratch.table(similar.unionAll(found), "similar")
     out = components(more, scratch)
     scratch.drop(shares, similar, more, found, now, linked)
@@ -560,7 +633,7 @@ def apart(classes: DataFrame, texts: DataFrame, sets: Sets, similarity: float) -
     return two.filter("n <= 2").select("node").unionAll(more)
 
 
-def staying(linked: DataFrame, texts: DataFrame, members: DataFrame, sets: Sets, similarity: float, scratch: Scratch) -> DataFrame:
+def staying(linked: DataFrame, texts: DataFrame, members: DataFrame, sets: Sets, marks: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """(node) of the texts of all classes (node, root) that stay: no two are similar, and all others are similar to one.
 
     A class of more than GROUP texts is first compared with the text in its middle, and what is not
@@ -578,12 +651,12 @@ def staying(linked: DataFrame, texts: DataFrame, members: DataFrame, sets: Sets,
         leads = in_the_middle(large, texts, sets, scratch)
         stay = scratch.table(stay.unionAll(leads.select(F.col("lead").alias("node"))), "stay")
         pairs = large.join(leads, "root").filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-        near = verified(pairs, sets, similarity, scratch)
+        near = verified(pairs, sets, marks, similarity, scratch)
         met = near.select(F.col("a").alias("node")).unionAll(near.select(F.col("b").alias("node"))).unionAll(leads.select(F.col("lead").alias("node")))
         rest = scratch.table(large.select("node").join(met.distinct(), "node", "left_anti"), "rest")
         still = scratch.table(members.join(rest, "node", "left_semi"), "members")
         scratch.drop(sized, leads, near)
-        linked = similar_classes(still, sets, None, similarity, scratch)
+        linked = similar_classes(still, sets, marks, None, similarity, scratch)
         alone = rest.join(linked, "node", "left_anti").select("node")
         stay = scratch.table(stay.unionAll(alone), "stay")
 
@@ -608,8 +681,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with Scratch(docs.sparkSession) as scratch:
         first = rows.groupBy("whole", "other").agg(F.min(F.struct(own.alias("low"), "fp")).alias("one"))
         texts = scratch.table(first.select(F.col("one.low.row").alias("node"), F.col("one.low").alias("low"), F.col("one.fp").alias("fp")), "texts")
-        bodies = rows.select(F.col("row").alias("node"), body.cast("string").alias("body")).join(texts.select("node"), "node", "left_semi")
+        bodies = rows.select(F.col("row").alias("node"), body.cast("string").alias("body"), "size", "mark").join(texts.select("node"), "node", "left_semi")
         bodies = scratch.table(bodies, "bodies")
+        marks = bodies.select("node", "size", "mark")
         members = scratch.table(shared_keys(bodies, width, similarity), "keys")
 
         def sets(nodes: DataFrame) -> DataFrame:
@@ -617,9 +691,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         fps = texts.select("node", "fp")
         n, both = bit_counts(fps)
-        seeds = verified(links(fps, plan(n, both, NEAR_BITS), NEAR_BITS, scratch), sets, similarity, scratch)
-        linked = similar_classes(members, sets, seeds, similarity, scratch)
-        stay = staying(linked, texts, members, sets, similarity, scratch)
+        seeds = verified(links(fps, plan(n, both, NEAR_BITS), NEAR_BITS, scratch), sets, marks, similarity, scratch)
+        linked = similar_classes(members, sets, marks, seeds, similarity, scratch)
+        stay = staying(linked, texts, members, sets, marks, similarity, scratch)
         gone = linked.select("node").join(stay, "node", "left_anti")
         kept = materialize(texts.select(F.col("node").alias("row")).join(gone.withColumnRenamed("node", "row"), "row", "left_anti"), "kept")
     return rows.join(kept, "row", "left_semi").select(*(F.col(o).alias(n) for n, o in zip(names, out, strict=True)))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import arrow_rows, as_bytes, crc_mod, slices, thinned
+from voxloom.llm.common import arrow_rows, as_bytes, crc_mod, give_back, slices, thinned
 
 SLOTS, RANK = 1 << 18, 4
 #: Bounds of the training sample: this many rows of either label at most, those of the least hash.
@@ -174,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     slots = [np.frombuffer(x.as_buffer(), "<i4") for x in got.column("slots")]
     machine = fit(slots, label, prior=counts.get(1, 0) / max(sum(counts.values()), 1))
     del got, slots, found
-    pa.default_memory_pool().release_unused()
+    give_back()
     return machine
 
 
