@@ -400,3 +400,39 @@ def test_marks_leave_all_similar_texts():
             assert simhash.may_be_similar(marks[0], marks[1], len(a) + len(b), 0.8) and simhash.may_be_similar(marks[1], marks[0], len(a) + len(b), 0.8)
         told += simhash.may_be_similar(marks[0], marks[2], len(a) + len(b), 0.8)
     assert told < 30
+
+
+@pytest.mark.parametrize("group", [3, 256])
+def test_texts_that_meet_by_chance_are_not_compared(spark, monkeypatch, group):
+    """Every similar pair is left to be compared, but hardly one of the many that share a passage."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rng = np.random.default_rng(9)
+    passages = [" ".join(f"p{i}x{j}" for j in range(6)) for i in range(30)]
+    texts = []
+    for i in range(150):
+        words = [f"v{x}" for x in rng.integers(0, 300, int(rng.integers(60, 120)))]
+        words[20:20] = passages[i % 30].split()
+        texts += [" ".join(words), " ".join(words[: int(len(words) * rng.uniform(0.75, 1))] if i % 3 else words[:40] + ["e"] + words[41:])]
+    bodies = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "node long, root long, body string")
+    level = spark.sparkContext.broadcast(np.zeros(simhash.COUNTERS, np.uint16))
+    met = [r.asDict() for r in simhash.met_texts(simhash.entered(bodies, level, 5, 0.8), 0.8).collect()]
+    large = {(r["key"], r["node"]) for r in met if r["key"] is not None}
+    n, need, first = Counter(), {}, set()
+    for r in met:
+        if r["key"] is None:
+            pair = (r["a"], r["b"])
+            n[pair] += 1
+            need[pair] = r["need"]
+            if r["first"]:
+                first.add(pair)
+    shares, by_key = Counter(node for _, node in large), defaultdict(list)
+    for key, node in large:
+        by_key[key].append(node)
+    compared = {p for p in first if n[p] + min(shares[p[0]], shares[p[1]]) >= need[p]}
+    met_in_large = {(a, b) for nodes in by_key.values() for a in nodes for b in nodes if a < b}
+    want = {(a, b) for a in range(300) for b in range(a + 1, 300) if similar(texts[a], texts[b])}
+    assert len(want) > 100 and want <= compared | met_in_large
+    if group == 256:
+        assert not large and len(first) > 2 * len(want) and len(compared) < 1.2 * len(want)
+    else:
+        assert large and all(len(nodes) > group for nodes in by_key.values())

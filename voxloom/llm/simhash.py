@@ -17,6 +17,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -291,10 +292,14 @@ def component_of(fps: DataFrame, k: int, scratch: Scratch) -> DataFrame:
 NEAR_BITS = 3
 #: Texts under one shingle beyond that number first meet by way of one of them, for LEADS rounds.
 GROUP, LEADS = 256, 3
-#: Counters (a power of two) of the sketch that puts shingles in order, and how many of them a row of it holds.
-COUNTERS, SEGMENT = 1 << 22, 1 << 16
+#: Counters (a power of two) of the sketch that puts shingles in order, bits of a bitmap of nodes, and how many of either a row holds.
+COUNTERS, PLACES, SEGMENT = 1 << 22, 1 << 24, 1 << 16
+#: Shingles more than one that two texts must share among their first, where their sizes allow to ask for as many.
+SPARE = 7
 #: From a table of nodes to their texts' distinct shingles (node, shingles, size).
 Sets = Callable[[DataFrame], DataFrame]
+#: From classes (node, root) that are known to the shingles (key, node, root, place, size) that texts are entered under.
+Entries = Callable[[DataFrame], DataFrame]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -331,41 +336,87 @@ def counter_of(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
-def levels(bodies: DataFrame, width: int) -> np.ndarray:
-    """For each counter 256 times the binary logarithm of how many shingles of all texts (body) fall to it.
+def gathered(rows: DataFrame, places: int, kind: str, join: np.ufunc, enter: Callable[[np.ndarray, pa.RecordBatch], None], done: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """``places`` numbers of type ``kind`` that all rows are entered in, after ``done``, which keeps their order.
 
-    A task sums up its texts in COUNTERS numbers and sends segments of them, which are added up one
-    row after another. The result has COUNTERS short numbers whatever the corpus: shingles that are
-    far more frequent than a counter's usual load stand out, and only the speed depends on which do.
+    A task enters its rows in an array and sends segments of it, which are joined one row after
+    another. The result has the same size whatever the corpus.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(places, kind)
         for batch in slices(batches):
-            sets = distinct_shingles(as_bytes(batch.column(0)), width)
-            np.add.at(total, counter_of(np.concatenate(sets)), 1)
-        for at in range(0, COUNTERS, SEGMENT):
+            enter(total, batch)
+        for at in range(0, places, SEGMENT):
             part = total[at : at + SEGMENT]
             if part.any():
-                data = pa.compress(part.astype("<i8").tobytes(), codec="zstd", asbytes=True)
+                data = pa.compress(part.tobytes(), codec="zstd", asbytes=True)
                 yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([data], pa.binary())], names=["at", "data"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for at, data in zip(*(batch.column(c).to_pylist() for c in ("at", "data")), strict=True):
-                part = np.frombuffer(pa.decompress(data, 8 * SEGMENT, codec="zstd", asbytes=True), "<i8")
-                total[at] = total[at] + part if at in total else part
+                part = np.frombuffer(pa.decompress(data, np.dtype(kind).itemsize * SEGMENT, codec="zstd", asbytes=True), kind)
+                total[at] = join(total[at], part) if at in total else part
         for at, part in total.items():
-            data = (256 * np.log2(1.0 + part)).astype("<u2").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([data], pa.binary())], names=["at", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([done(part).tobytes()], pa.binary())], names=["at", "data"])
+
+    arrow_rows(rows.sparkSession)
+    parts = rows.mapInArrow(count, "at int, data binary")
+    out = [done(np.zeros(SEGMENT, kind))] * (places // SEGMENT)
+    for r in parts.repartition("at").mapInArrow(add, "at int, data binary").collect():  # places / SEGMENT rows
+        out[r["at"] // SEGMENT] = np.frombuffer(r["data"], out[0].dtype)
+    return np.concatenate(out)
+
+
+def levels(bodies: DataFrame, width: int, without: Broadcast | None = None) -> np.ndarray:
+    """For each counter 256 times the binary logarithm of how many shingles of all texts (node, body) fall to it.
+
+    Nodes in the bitmap ``without`` are left out. Shingles that are far more frequent than a
+    counter's usual load stand out, and only the speed depends on which do.
+    """
+
+    def enter(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        batch = batch if without is None else batch.filter(pa.array(~is_in(without.value, batch.column(0))))
+        sets = distinct_shingles(as_bytes(batch.column(1)), width)
+        np.add.at(total, counter_of(np.concatenate([np.zeros(0, np.uint64), *sets])), 1)
+
+    return gathered(bodies.select("node", "body"), COUNTERS, "<i8", np.add, enter, lambda x: (256 * np.log2(1.0 + x)).astype("<u2"))
+
+
+def bitmap(nodes: DataFrame) -> Broadcast:
+    """A bit for each of PLACES places, set where a node falls to it: 2 MB, broadcast.
+
+    Rows with other nodes need not be moved to a join with ``nodes``; the fuller the bitmap, the more are moved in vain.
+    """
+
+    def enter(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        total[place_of(batch.column(0))] = 1
+
+    bits = gathered(nodes.select("node"), PLACES, "u1", np.maximum, enter, lambda x: np.packbits(x, bitorder="little"))
+    return nodes.sparkSession.sparkContext.broadcast(bits)
+
+
+def place_of(nodes: pa.Array) -> np.ndarray:
+    return (mixed(nodes.to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - PLACES.bit_length() + 1)).astype(np.int64)
+
+
+def is_in(bits: np.ndarray, nodes: pa.Array) -> np.ndarray:
+    """False only for nodes that are not in the bitmap's table."""
+    at = place_of(nodes)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def near_at_hand(bodies: DataFrame, bits: Broadcast) -> DataFrame:
+    """(node, body) of the bodies that are in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(is_in(bits.value, batch.column(0))))
 
     arrow_rows(bodies.sparkSession)
-    parts = bodies.select("body").mapInArrow(count, "at int, data binary")
-    out = np.zeros(COUNTERS, np.uint16)
-    for r in parts.repartition("at").mapInArrow(add, "at int, data binary").collect():  # COUNTERS / SEGMENT rows
-        out[r["at"] : r["at"] + SEGMENT] = np.frombuffer(r["data"], "<u2")
-    return out
+    return bodies.select("node", "body").mapInArrow(run, "node long, body string")
 
 
 def first_shingles(shingles: np.ndarray, level: np.ndarray, similarity: float) -> np.ndarray:
@@ -403,58 +454,136 @@ def signed_texts(docs: DataFrame, text_col: str, keep: list[str], names: list[st
     return rows.mapInArrow(run, f"{fields}, whole long, other long, fp long, size int, mark binary")
 
 
-def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
-    """(node, body) -> (node, shingles, size): the distinct shingle hashes of each text."""
+def shingle_sets(rows: DataFrame, width: int, bits: Broadcast) -> DataFrame:
+    """(node, body) -> (node, shingles, size): the distinct shingle hashes of each text that is in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
-            sets = distinct_shingles(as_bytes(batch.column(1)), width)
-            cols = [batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["node", "shingles", "size"])
+        for whole in batches:
+            for batch in slices([whole.filter(pa.array(is_in(bits.value, whole.column(0))))], 64):
+                sets = distinct_shingles(as_bytes(batch.column(1)), width)
+                cols = [batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "shingles", "size"])
 
     arrow_rows(rows.sparkSession)
     return rows.select("node", "body").mapInArrow(run, "node long, shingles array<long>, size long")
 
 
-def shared_keys(bodies: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(key, node, place, size): the shingles that two or more of the texts (node, body) are entered under.
+def entered(rows: DataFrame, level: Broadcast, width: int, similarity: float, without: Broadcast | None = None) -> DataFrame:
+    """(key, node, root, place, size): the shingles that texts (node, root, body) are entered under, but for nodes in a bitmap.
 
     ``place`` (from 1) is the shingle's among all of the text in their order, ``size`` their number.
-    One shuffle of the entries; a task reads its keys in order and holds one batch at a time.
     """
-    level = bodies.sparkSession.sparkContext.broadcast(levels(bodies, width))  # COUNTERS short numbers
-    names, fields = ["key", "node", "place", "size"], "key long, node long, place int, size int"
+    names = ["key", "node", "root", "place", "size"]
 
-    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = distinct_shingles(as_bytes(batch.column(1)), width)
-            found = [first_shingles(x, level.value, similarity) if len(x) else x for x in sets]
-            many = np.array([len(x) for x in found], np.int64)
-            node = np.repeat(batch.column(0).to_numpy(), many)
-            size = np.repeat(np.array([len(x) for x in sets], np.int32), many)
-            place = np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in many])
-            key = np.concatenate(found).view(np.int64)
-            for at in range(0, len(key), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (key, node, place, size)], names=names)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None  # the last row before this batch
-        sent = True  # whether it has been sent
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            left = whole if without is None else whole.filter(pa.array(~is_in(without.value, whole.column(0))))
+            for batch in slices([left]):
+                sets = distinct_shingles(as_bytes(batch.column(2)), width)
+                found = [first_shingles(x, level.value, similarity) if len(x) else x for x in sets]
+                many = np.array([len(x) for x in found], np.int64)
+                node, root = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), many) for c in (0, 1))
+                size = np.repeat(np.array([len(x) for x in sets], np.int32), many)
+                place = np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in many])
+                key = np.concatenate(found).view(np.int64)
+                for at in range(0, len(key), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (key, node, root, place, size)], names=names)
+
+    arrow_rows(rows.sparkSession)
+    return rows.select("node", "root", "body").mapInArrow(run, "key long, node long, root long, place int, size int")
+
+
+def text_entries(bodies: DataFrame, others: DataFrame, linked: DataFrame, level: Broadcast, width: int, similarity: float) -> DataFrame:
+    """Entries of all texts (node, body) but ``others`` (node), with their roots in ``linked`` (node, root).
+
+    Texts that are in neither table, as most are, are entered where they are read; only those of the
+    others that may be in one are moved to a join.
+    """
+    known = linked.select("node", "root").unionAll(others.select("node", F.lit(None).cast("long").alias("root"))).withColumn("known", F.lit(True))
+    bits = bitmap(known)
+    joined = near_at_hand(bodies, bits).join(known, "node", "left").filter("known IS NULL OR root IS NOT NULL")
+    most = entered(bodies.select("node", F.col("node").alias("root"), "body"), level, width, similarity, bits)
+    return most.unionAll(entered(joined.select("node", F.coalesce("root", "node").alias("root"), "body"), level, width, similarity))
+
+
+def met_texts(entries: DataFrame, similarity: float) -> DataFrame:
+    """What meets under a key: pairs (a, b, need, first) of texts with different roots, and entries (key, node, place, size)
+    of keys of more than GROUP entries, the columns of the other kind being null.
+
+    Texts of sizes m and n that are similar share o = similarity / (1 + similarity) * (m + n) shingles
+    at least. So of the first m - o + 1 + s of one and n - o + 1 + s of the other they share ``need``
+    = 1 + s at least, and the first that they share is among the first m - o + 1 and n - o + 1: it
+    is marked ``first``. Texts are entered under enough shingles for s up to SPARE unless their sizes
+    differ much. One shuffle of the entries; a task holds GROUP entries and a batch at a time.
+    """
+    most = GROUP
+    names, fields = ["key", "node", "root", "place", "size"], "key long, node long, place int, size int, a long, b long, need int, first boolean"
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+    out = [x.split()[0] for x in fields.split(", ")]
+
+    def rows_of(n: int, cols: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cols[c], k) if c in cols else pa.nulls(n, k) for c, k in zip(out, kinds, strict=True)], names=out)
+
+    def large(cols: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return rows_of(len(cols["key"]), {c: cols[c] for c in ("key", "node", "place", "size")})
+
+    def pairs(cols: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, node, root, size = (cols[c] for c in ("key", "node", "root", "size"))
+        size = size.astype(np.int64)
+        left, i, d = size - cols["place"] + 1, np.arange(len(key) - 1), 1
+        while True:
+            i = i[i + d < len(key)]
+            i = i[key[i] == key[i + d]]
+            if not len(i):
+                return
+            j = i + d
+            least = np.ceil((size[i] + size[j]) * (similarity / (1 + similarity)) - 1e-6).astype(np.int64)
+            spare = np.clip(least - np.ceil(similarity * np.maximum(size[i], size[j]) - 1e-6).astype(np.int64), 0, SPARE)
+            both = np.minimum(left[i], left[j])
+            ok = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= least) & (both >= least - spare)
+            if ok.any():
+                a, b = node[i[ok]], node[j[ok]]
+                yield rows_of(len(a), {"a": np.minimum(a, b), "b": np.maximum(a, b), "need": (1 + spare[ok]).astype(np.int32), "first": both[ok] >= least[ok]})
+            d += 1
+
+    def meet(cols: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key = cols["key"]
+        begins = np.append(0, np.nonzero(key[1:] != key[:-1])[0] + 1)
+        n = np.diff(np.append(begins, len(key)))
+        n = np.repeat(n, n)
+        if (n > most).any():
+            yield large({c: x[n > most] for c, x in cols.items()})
+        some = (n > 1) & (n <= most)
+        if some.any():
+            yield from pairs({c: x[some] for c, x in cols.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
+        sent: int | None = None  # a key of which more than GROUP entries have been sent
         for batch in batches:
-            key = batch.column("key").to_numpy()
-            if not len(key):
+            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+            if held is not None:
+                cols = {c: np.concatenate([held[c], x]) for c, x in cols.items()}
+            held = cols
+            if sent is not None and len(cols["key"]):
+                same = cols["key"] == sent
+                if same.any():
+                    yield large({c: x[same] for c, x in cols.items()})
+                held = cols = {c: x[~same] for c, x in cols.items()}
+            if not len(cols["key"]):
                 continue
-            same = key[1:] == key[:-1]
-            joins = np.append(held is not None and held.column("key")[0].as_py() == key[0], same)
-            send = joins | np.append(same, False)
-            if joins[0] and not sent:
-                yield held
-            yield batch.filter(pa.array(send))
-            held, sent = pa.RecordBatch.from_arrays([batch.column(c).take(pa.array([len(key) - 1])) for c in names], names=names), bool(send[-1])
+            start = int(np.argmax(cols["key"] == cols["key"][-1]))
+            sent = None
+            if len(cols["key"]) - start > most:
+                start, sent = len(cols["key"]), int(cols["key"][-1])
+            if start:
+                yield from meet({c: x[:start] for c, x in cols.items()})
+            held = {c: x[start:] for c, x in cols.items()}
+        if held is not None and len(held["key"]):
+            yield from meet(held)
 
-    arrow_rows(bodies.sparkSession)
-    entered = bodies.select("node", "body").mapInArrow(enter, fields)
-    return entered.repartition("key").sortWithinPartitions("key").mapInArrow(meet, fields)
+    arrow_rows(entries.sparkSession)
+    return entries.repartition("key").sortWithinPartitions("key").mapInArrow(run, fields)
 
 
 def is_similar(a: Column, b: Column, similarity: float) -> Column:
@@ -529,20 +658,37 @@ def met_pairs(dealt: DataFrame, similarity: float) -> DataFrame:
     return dealt.select(*names).repartition(*group).sortWithinPartitions(*group, "node").mapInArrow(run, "a long, b long")
 
 
-def similar_classes(members: DataFrame, sets: Sets, marks: DataFrame, seeds: DataFrame | None, similarity: float, scratch: Scratch) -> DataFrame:
+def similar_classes(entries: Entries, sets: Sets, marks: DataFrame, seeds: DataFrame | None, similarity: float, scratch: Scratch) -> DataFrame:
     """(node, root) for every text that is similar to another one, or by way of others.
 
-    ``members`` has the shingles (key, node, place, size) that texts are entered under, ``sets``
-    gives the shingles of texts, ``marks`` (node, size, mark) their marks, ``seeds`` are pairs (a, b) known to be similar. In groups of more than GROUP
-    texts, texts are compared with one of them (first the one that shares most keys), for up to LEADS
+    ``entries`` gives the shingles that texts are entered under, ``sets`` the shingles of texts,
+    ``marks`` (node, size, mark) their marks, ``seeds`` are pairs (a, b) known to be similar. Texts
+    that meet under a key in a group of no more than GROUP are compared if they share as many keys as
+    similar texts must, keys of larger groups counted in. In larger groups,
+    texts are compared with one of them (first the one that shares most keys), for up to LEADS
     rounds, or until a round links nothing; what has been linked need not be compared again. All
     others of a group meet in pairs, large groups by pairs of blocks; and pairs are compared that,
     by their places, may have that shingle as the first in common.
     """
-    none = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    similar = scratch.table(none if seeds is None else seeds, "similar")
+    similar = scratch.table(marks.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if seeds is None else seeds, "similar")
     linked = components(similar, scratch)
+    met = scratch.table(met_texts(entries(linked), similarity), "met")
+    members = met.filter("key IS NOT NULL").select("key", "node", "place", "size")
     shares = scratch.table(members.groupBy("node").agg(F.count("*").alias("shares")), "shares")
+    counted = met.filter("a IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need"), F.max("first").alias("first"))
+    counted = scratch.table(counted.filter("first"), "counted")
+    pairs, few = counted.filter("n >= need").select("a", "b"), shares.isEmpty()
+    if not few:
+        left, right = (shares.select(F.col("node").alias(x), F.col("shares").alias(f"shares_{x}")) for x in "ab")
+        some = counted.filter("n < need").join(left, "a").join(right, "b").filter(F.col("n") + F.least("shares_a", "shares_b") >= F.col("need"))
+        pairs = pairs.unionAll(some.select("a", "b"))
+    found = verified(pairs, sets, marks, similarity, scratch)
+    more = scratch.table(similar.unionAll(found), "similar")
+    scratch.drop(similar, linked, found, counted)
+    similar, linked = more, components(more, scratch)
+    if few:
+        scratch.drop(met, shares, similar)
+        return linked
     now: DataFrame | None = None
     for turn in range(LEADS + 1):
         roots = shares.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -571,7 +717,7 @@ def similar_classes(members: DataFrame, sets: Sets, marks: DataFrame, seeds: Dat
     found = verified(met, sets, marks, similarity, scratch)
     more = scratch.table(similar.unionAll(found), "similar")
     out = components(more, scratch)
-    scratch.drop(shares, similar, more, found, now, linked)
+    scratch.drop(met, shares, similar, more, found, now, linked)
     return out
 
 
@@ -633,11 +779,12 @@ def apart(classes: DataFrame, texts: DataFrame, sets: Sets, similarity: float) -
     return two.filter("n <= 2").select("node").unionAll(more)
 
 
-def staying(linked: DataFrame, texts: DataFrame, members: DataFrame, sets: Sets, marks: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+def staying(linked: DataFrame, texts: DataFrame, again: Callable[[DataFrame], Entries], sets: Sets, marks: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """(node) of the texts of all classes (node, root) that stay: no two are similar, and all others are similar to one.
 
     A class of more than GROUP texts is first compared with the text in its middle, and what is not
-    similar to that is parted into classes again; so a class falls apart around its middle.
+    similar to that is parted into classes again; so a class falls apart around its middle. ``again``
+    gives the entries of some texts (node) alone.
     """
     stay: DataFrame | None = None
     while True:
@@ -654,9 +801,8 @@ def staying(linked: DataFrame, texts: DataFrame, members: DataFrame, sets: Sets,
         near = verified(pairs, sets, marks, similarity, scratch)
         met = near.select(F.col("a").alias("node")).unionAll(near.select(F.col("b").alias("node"))).unionAll(leads.select(F.col("lead").alias("node")))
         rest = scratch.table(large.select("node").join(met.distinct(), "node", "left_anti"), "rest")
-        still = scratch.table(members.join(rest, "node", "left_semi"), "members")
         scratch.drop(sized, leads, near)
-        linked = similar_classes(still, sets, marks, None, similarity, scratch)
+        linked = similar_classes(again(rest), sets, marks, None, similarity, scratch)
         alone = rest.join(linked, "node", "left_anti").select("node")
         stay = scratch.table(stay.unionAll(alone), "stay")
 
@@ -681,19 +827,26 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with Scratch(docs.sparkSession) as scratch:
         first = rows.groupBy("whole", "other").agg(F.min(F.struct(own.alias("low"), "fp")).alias("one"))
         texts = scratch.table(first.select(F.col("one.low.row").alias("node"), F.col("one.low").alias("low"), F.col("one.fp").alias("fp")), "texts")
-        bodies = rows.select(F.col("row").alias("node"), body.cast("string").alias("body"), "size", "mark").join(texts.select("node"), "node", "left_semi")
-        bodies = scratch.table(bodies, "bodies")
-        marks = bodies.select("node", "size", "mark")
-        members = scratch.table(shared_keys(bodies, width, similarity), "keys")
+        bodies = rows.select(F.col("row").alias("node"), body.cast("string").alias("body"))
+        marks = rows.select(F.col("row").alias("node"), "size", "mark")
+        others = scratch.table(marks.select("node").join(texts.select("node"), "node", "left_anti"), "others")
+        level = docs.sparkSession.sparkContext.broadcast(levels(bodies, width, bitmap(others)))  # COUNTERS short numbers
 
         def sets(nodes: DataFrame) -> DataFrame:
-            return shingle_sets(bodies.join(nodes, "node", "left_semi"), width)
+            return shingle_sets(bodies, width, bitmap(nodes)).join(nodes, "node", "left_semi")
+
+        def entries(linked: DataFrame) -> DataFrame:
+            return text_entries(bodies, others, linked, level, width, similarity)
+
+        def again(nodes: DataFrame) -> Entries:
+            alone = near_at_hand(bodies, bitmap(nodes)).join(nodes, "node", "left_semi").select("node", F.col("node").alias("root"), "body")
+            return lambda linked: entered(alone, level, width, similarity)
 
         fps = texts.select("node", "fp")
         n, both = bit_counts(fps)
         seeds = verified(links(fps, plan(n, both, NEAR_BITS), NEAR_BITS, scratch), sets, marks, similarity, scratch)
-        linked = similar_classes(members, sets, marks, seeds, similarity, scratch)
-        stay = staying(linked, texts, members, sets, marks, similarity, scratch)
+        linked = similar_classes(entries, sets, marks, seeds, similarity, scratch)
+        stay = staying(linked, texts, again, sets, marks, similarity, scratch)
         gone = linked.select("node").join(stay, "node", "left_anti")
         kept = materialize(texts.select(F.col("node").alias("row")).join(gone.withColumnRenamed("node", "row"), "row", "left_anti"), "kept")
     return rows.join(kept, "row", "left_semi").select(*(F.col(o).alias(n) for n, o in zip(names, out, strict=True)))
