@@ -408,6 +408,17 @@ def is_in(bits: np.ndarray, nodes: pa.Array) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def parted(rows: DataFrame, bits: Broadcast, inside: bool) -> DataFrame:
+    """Those rows whose ``row`` is in the bitmap, or those whose is not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(is_in(bits.value, batch.column(batch.schema.names.index("row"))) == inside))
+
+    arrow_rows(rows.sparkSession)
+    return rows.mapInArrow(run, rows.schema)
+
+
 def near_at_hand(bodies: DataFrame, bits: Broadcast) -> DataFrame:
     """(node, body) of the bodies that are in the bitmap."""
 
@@ -848,5 +859,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         linked = similar_classes(entries, sets, marks, seeds, similarity, scratch)
         stay = staying(linked, texts, again, sets, marks, similarity, scratch)
         gone = linked.select("node").join(stay, "node", "left_anti")
-        kept = materialize(texts.select(F.col("node").alias("row")).join(gone.withColumnRenamed("node", "row"), "row", "left_anti"), "kept")
-    return rows.join(kept, "row", "left_semi").select(*(F.col(o).alias(n) for n, o in zip(names, out, strict=True)))
+        gone = materialize(gone.select(F.col("node").alias("row")).unionAll(others.select(F.col("node").alias("row"))), "gone")
+    bits = bitmap(gone.select(F.col("row").alias("node")))
+    kept = parted(rows, bits, False).unionAll(parted(rows, bits, True).join(gone, "row", "left_anti").select(*rows.columns))
+    return kept.select(*(F.col(o).alias(n) for n, o in zip(names, out, strict=True)))
